@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words end at ASCII white space only.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -87,7 +88,7 @@ def map_texts(df: DataFrame, keep: list[str], text: str, fn: Callable[[list[byte
 
     kept = df.select(*keep).schema
     out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields), schema])
-    names = [x.strip().split()[0] for x in schema.split(",")]
+    names = T.StructType.fromDDL(schema).fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import lower_ascii, stash
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPAN, GRAM, WINDOW = 8, 4, 5
@@ -106,10 +106,11 @@ def hits(docs: DataFrame, benchmark: DataFrame, keys: list[str], broadcast_rows:
 def contamination(docs: DataFrame, benchmark: DataFrame, least_items: int = 2, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of docs (doc_id, text).
 
-    Rows are told apart by id and text: keyed by doc_id and the text's hash, so rows that repeat share one result.
+    The hits are written once, for both of the aggregates over them. Rows are told apart by id and text: keyed by doc_id and the text's hash, so rows that repeat share one result.
     """
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.sha2(F.coalesce("text", F.lit("")), 256))
     found = hits(docs.select(key.alias("row"), word_hashes(F.col("text")).alias("h")), benchmark, ["row"], broadcast_rows)
+    found = stash(found, "decontam-hits")
     words = found.select("row", F.explode(F.sequence("first", "last")).alias("w")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
     items = found.select("row", F.explode("items").alias("item")).distinct().groupBy("row").agg(F.sort_array(F.collect_list(F.col("item").cast("string"))).alias("ids"))
     result = words.join(items, "row").select("row", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "ids"), 256).alias("items_sha256"))
