@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,7 +64,7 @@ def native_rows(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[
     """Slices Arrow batches so that each holds about SLICE_BYTES of text (one row at least); null texts become empty."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
-        sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
         start, held = 0, 0
         for i, size in enumerate(sizes):
             if i > start and held + size > SLICE_BYTES:
@@ -84,15 +85,11 @@ def map_texts(df: DataFrame, keep: list[str], text: str, fn: Callable[[list[byte
 
     fn takes the UTF-8 texts of a slice (and what setup returned, once a task) and returns arrays by name, as `schema` has them.
     """
-    import pyarrow.compute  # noqa: F401
-
     kept = df.select(*keep).schema
     out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields), schema])
     names = T.StructType.fromDDL(schema).fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
-
         state = (setup(),) if setup else ()
         for piece, texts in native_rows(batches, text):
             got = fn(texts, *state)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_extract, line_dedup, lm_score, mix, quality_cnn, rules, substring_dedup, token_count
+from . import decontam, html_extract, line_dedup, lm_score, mix, ngram_join, quality_cnn, rules, substring_dedup, token_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,7 +56,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(_table(spark, sf_dir, "documents"), _pieces())
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lm_score, op2_substring_dedup, op3_main_text, op4_line_dedup, op5_quality, op6_mix, op7_decontaminate, op8_rules, op9_token_counts)
+    f.__name__: f for f in (op1_lm_score, op2_substring_dedup, op3_main_text, op4_line_dedup, op5_quality, op6_mix, op7_decontaminate, op8_rules, op9_token_counts, op10_ngram_join)
 }
-SQL = {"op6_mix": mix.MIX_SQL, "op7_decontaminate": decontam.CONTAMINATION_SQL}
+SQL = {"op6_mix": mix.MIX_SQL, "op7_decontaminate": decontam.CONTAMINATION_SQL, "op10_ngram_join": ngram_join.SIMILAR_SQL}
