@@ -49,7 +49,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_e
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, bucket_rows: int = 4096, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken (and the carried columns) for each row of docs (doc_id, text, source)."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    extra = [F.col(c).alias(f"__{c}") for c in carry]
+    extra = [F.col(c).alias(f"carried_{c}") for c in carry]
     sizes = stash(docs.select("doc_id", "source", size.alias("size"), key_of(F.col("doc_id")).alias("key"), *extra), "mix-sizes")
     targets = source_targets(sizes, weights, max_epochs)
     bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("rows") / F.lit(float(bucket_rows))))).cast("int")
@@ -65,7 +65,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
     inside = W.partitionBy("tag", "bucket").orderBy("key", F.col("doc_id"), "size").rowsBetween(W.unboundedPreceding, 0)
     before = F.col("offset") + F.sum("size").over(inside) - F.col("size")
     taken = F.col("epochs") * F.col("size") + F.least(F.greatest(F.col("rest") - before, F.lit(0)), F.col("size"))
-    return rows.join(sums, ["tag", "bucket"]).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *[F.col(f"__{c}").alias(c) for c in carry])
+    return rows.join(sums, ["tag", "bucket"]).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *[F.col(f"carried_{c}").alias(c) for c in carry])
 
 
 MIX_SQL = """
