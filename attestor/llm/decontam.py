@@ -71,7 +71,11 @@ def contexts(df: DataFrame, keep: list[str]) -> DataFrame:
 def short_grams(df: DataFrame, keep: list[str], lengths: list[int]) -> DataFrame:
     """A row for each run of so many words: length, fp, place."""
     h = F.col("h")
-    runs = [F.transform(_steps(F.size(h) - (n - 1)), lambda i, n=n: F.struct(F.lit(n).alias("length"), F.xxhash64(*[F.get(h, i + k) for k in range(n)]).alias("fp"), i.alias("place"))) for n in lengths]
+
+    def run(n: int) -> Column:
+        return F.transform(_steps(F.size(h) - (n - 1)), lambda i: F.struct(F.lit(n).alias("length"), F.xxhash64(*[F.get(h, i + k) for k in range(n)]).alias("fp"), i.alias("place")))
+
+    runs = [run(n) for n in lengths]
     return df.select(*keep, F.explode(F.concat(*runs) if len(runs) > 1 else runs[0]).alias("x")).select(*keep, "x.*")
 
 
@@ -88,15 +92,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, keys: list[str], broadcast_rows:
     """keys, items (array of item_ids), first, last: the words of docs (keys, h) inside occurrences of windows. Rows may overlap and repeat."""
     items = benchmark.filter("item_id is not null").select("item_id", word_hashes(F.col("text")).alias("h")).filter(F.size("h") > 0)
     marks = contexts(items.filter(F.size("h") >= SPAN), ["item_id"]).groupBy("fp", "c").agg(F.collect_set("item_id").alias("items")).withColumnRenamed("c", "ic")
-    whole = items.filter(F.size("h") < SPAN).select(F.size("h").alias("length"), "item_id", "h")
-    lengths = sorted(r.length for r in whole.select("length").distinct().collect())
+    whole = items.filter(F.size("h") < SPAN).select(F.size("h").alias("size"), "item_id", "h")
+    lengths = sorted(r["size"] for r in whole.select("size").distinct().collect())
     side = (lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df)
     found = contexts(docs, keys).join(side(marks), "fp")
     a, b = _reach("c", "ic", range(GRAM - 1, -1, -1)), _reach("c", "ic", range(2 * GRAM, 3 * GRAM))
     same = _reach("c", "ic", range(GRAM, 2 * GRAM)) == GRAM
     found = found.filter(same & (a + b + GRAM >= SPAN)).select(*keys, "items", (F.col("place") - a).alias("first"), (F.col("place") + GRAM - 1 + b).alias("last"))
     if lengths:
-        short = short_grams(whole.select("item_id", "h", "length"), ["item_id", F.size("h").alias("size")], lengths)
+        short = short_grams(whole, ["item_id", "size"], lengths)
         short = short.filter("length = size").groupBy("length", "fp").agg(F.collect_set("item_id").alias("items"))
         more = short_grams(docs, keys, lengths).join(side(short), ["length", "fp"])
         found = found.unionByName(more.select(*keys, "items", F.col("place").alias("first"), (F.col("place") + F.col("length") - 1).alias("last")))

@@ -90,7 +90,7 @@ def common_lines(a: list, b: list, words: list[int], least: int) -> list[int]:
 
 def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (line numbers from 0), text (what stays), and the carried columns, for each row of docs (doc_id, text)."""
-    keyed = docs.select(document_key().alias("row"), *docs.columns)
+    keyed = docs.select(document_key().alias("row"), "doc_id", "text", *[F.col(c).alias(f"carried_{c}") for c in carry])
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     hashes = F.transform(lines, lambda x: F.unhex(F.md5(F.trim(x))))
     words = F.transform(lines, lambda x: F.regexp_count(x, F.lit(r"\S+")))
@@ -116,5 +116,5 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, carry: tuple[st
     rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("removed", i)), "\n")
     return joined.select(
         "doc_id", F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.size(lines)).alias("n_lines"), F.size("removed").alias("n_removed"), "removed",
-        F.when(F.size("removed") == 0, F.col("text")).otherwise(rest).alias("text"), *carry,
+        F.when(F.size("removed") == 0, F.col("text")).otherwise(rest).alias("text"), *[F.col(f"carried_{c}").alias(c) for c in carry],
     )
