@@ -312,6 +312,39 @@ raw AS (SELECT be.claim_id, tf.span_id, sum(ln(1 + (s.spans_n - df.k + 0.5) / (d
 SELECT claim_id, span_id, round(v / max(v) OVER (PARTITION BY claim_id, {'substring_index(span_id, ' + chr(39) + ':' + chr(39) + ', 1)' if d.name == 'spark' else 'split_part(span_id, ' + chr(39) + ':' + chr(39) + ', 1)'}), 6) AS score FROM raw""".replace("0.5)", "0.5e0)").replace("2.5)", "2.5e0)").replace("1.5 *", "1.5e0 *").replace("0.75", "0.75e0"))
 
 
+@plan("documents", "benchmark", "spans", "ranked")
+def win_weak_matches(d):
+    """Selection by id alone: siblings may both be chosen, a parent only where no supporting child ranks before it."""
+    return with_spans(d, f"""{ranked(d)}, s AS (SELECT * FROM top WHERE label = 'supports'),
+kept AS (SELECT p.claim_id, p.span_id, p.rank FROM s p WHERE NOT EXISTS (SELECT 1 FROM s c WHERE c.claim_id = p.claim_id AND c.parent_id = p.span_id AND c.rank < p.rank))
+SELECT claim_id, span_id, place FROM (SELECT claim_id, span_id, cast(row_number() OVER (PARTITION BY claim_id ORDER BY rank) as bigint) AS place FROM kept) k WHERE place <= 3""")
+
+
+@plan("documents", "benchmark", "spans", "ranked")
+def expl_candidates(d):
+    """Every candidate with its score, and whether it is gold and was selected."""
+    return with_spans(d, f"""{ranked(d)}
+SELECT t.claim_id, t.span_id, cast(t.rank as bigint) AS rank, t.label, t.score, g.span_id IS NOT NULL AS gold, m.span_id IS NOT NULL AS selected
+FROM top t LEFT JOIN gold g ON g.claim_id = t.claim_id AND g.span_id = t.span_id LEFT JOIN matches m ON m.claim_id = t.claim_id AND m.span_id = t.span_id""")
+
+
+@plan("documents", "benchmark", "spans", "ranked")
+def agg_negative_labels(d):
+    """For each negative label, zero rows included: claims that have it, and how often its first span tops the ranking or is selected."""
+    return with_spans(d, f"""{ranked(d)}, kinds AS (SELECT 'near_miss' AS label UNION ALL SELECT 'contradicts' UNION ALL SELECT 'insufficient_context'),
+neg AS (SELECT t.claim_id, t.span_id, t.label, t.rank FROM top t WHERE NOT EXISTS (SELECT 1 FROM gold g WHERE g.claim_id = t.claim_id AND g.span_id = t.span_id))
+SELECT k.label, count(DISTINCT n.claim_id) AS n_cases, count(n.span_id) AS n_spans, count(CASE WHEN n.rank = 1 THEN 1 END) AS n_top1, count(m.span_id) AS n_selected
+FROM kinds k LEFT JOIN neg n ON n.label = k.label LEFT JOIN matches m ON m.claim_id = n.claim_id AND m.span_id = n.span_id GROUP BY k.label""")
+
+
+@plan("documents", "benchmark", "spans", "ranked")
+def jdg_requests(d):
+    """One request for each claim and labelled span: gold spans, and the first three others under their label."""
+    return with_spans(d, f"""{ranked(d)}, neg AS (SELECT claim_id, span_id, label, row_number() OVER (PARTITION BY claim_id ORDER BY rank) AS k FROM (SELECT t.* FROM top t WHERE NOT EXISTS (SELECT 1 FROM gold g WHERE g.claim_id = t.claim_id AND g.span_id = t.span_id)) x),
+wanted AS (SELECT claim_id, span_id, 'supports' AS expected FROM gold UNION SELECT claim_id, span_id, label FROM neg WHERE k <= 3)
+SELECT {d.sha("concat(cast(w.claim_id as varchar(20)), ':', w.span_id)")} AS request_id, w.claim_id, w.span_id, w.expected, {d.sha('s.text')} AS source_hash FROM wanted w JOIN spans s ON s.span_id = w.span_id""")
+
+
 def features() -> str:
     """Feature rows from the events: every rung of the ladder occurs."""
     f = lambda name, prime, scale: f"cast((event_id * {prime}) % 101 as double) / {scale} AS {name}"
