@@ -212,3 +212,21 @@ def test_lm(spark):
     ids = np.arange(3, 90, dtype=np.int32)
     whole = model.score(ids, np.array([40, 47]))
     assert np.allclose(whole, [model.score(ids[:40], np.array([40]))[0], model.score(ids[40:], np.array([47]))[0]], rtol=1e-4)
+
+
+def test_lm_counts_all_training_texts(spark, monkeypatch):
+    import sentencepiece
+
+    texts = [*EDGES, *(prose(i, 40) for i in range(60))]
+    docs = table(spark, texts)
+    got, whole = [], lm_score.Model.set_bigrams
+    monkeypatch.setattr(lm_score.Model, "set_bigrams", lambda m, p, s: (got.append((m.rank, p.copy(), s.copy())), whole(m, p, s))[1])
+    lm_score.lm_scores(docs, PIECES, sample_rows=3, sample_ids=100)
+    rank, pairs, singles = got[-1]
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    n, two = np.zeros(len(rank)), np.zeros((lm_score.RANKS, lm_score.RANKS))
+    for r in docs.filter(F.crc32(F.col("doc_id").cast("string")) % 10 != 0).collect():
+        ids = [lm_score.END, *sp.encode(r.text or ""), lm_score.END]
+        np.add.at(n, ids[1:], 1)
+        np.add.at(two, (rank[ids[:-1]], rank[ids[1:]]), 1)
+    assert (singles == n).all() and (pairs == two).all()
