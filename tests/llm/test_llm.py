@@ -230,3 +230,16 @@ def test_lm_counts_all_training_texts(spark, monkeypatch):
         np.add.at(n, ids[1:], 1)
         np.add.at(two, (rank[ids[:-1]], rank[ids[1:]]), 1)
     assert (singles == n).all() and (pairs == two).all()
+
+
+def test_lm_sample_is_random(spark, monkeypatch):
+    texts = [f"{c}{c} {prose(i, 40)}" for i, c in enumerate("abcdefghijklmnopqrstuvwxyz" * 4)]
+    got = []
+    monkeypatch.setattr(lm_score.Model, "fit", lambda m, ids, sizes: got.append((ids, sizes)))
+    docs = table(spark, texts)
+    lm_score.sample_model(docs, PIECES, 4_000, 4_000)
+    lm_score.sample_model(docs.repartition(7, "text"), PIECES, 4_000, 4_000)
+    (ids, sizes), (again, _) = got
+    sp = lm_score.subwords(PIECES).sp
+    firsts = [sp.decode(x.tolist())[0] for x in np.split(ids, np.cumsum(sizes)[:-1])]
+    assert 10 < len(firsts) < 60 and min(firsts) < "h" and max(firsts) > "s" and (ids == again).all()
