@@ -3,7 +3,9 @@
 A text's lines are cut further at sentence ends, so that a passage is found whatever line it stands in. Units of
 `least_words` words or more are normalised (case and white space) and hashed to 128 bits. The digests are grouped over
 the whole corpus; the occurrence of the earliest rank (doc_id, then place) stays, and every other one is removed. A
-shorter unit goes only with its neighbours: when the units on both sides of it, in its line or next to it, go.
+shorter unit is hashed with its neighbours: the least run of units that starts with it, and the least that ends with
+it, of `least_words` words or more; a text with fewer words is one run, which meets whole texts only. Runs that overlap
+their own earliest occurrence leave it whole. A short unit also goes when the units on both sides of it go.
 
 Digests are pre-aggregated before they are shuffled, and a digest that a third of all rows share is one row on the
 grouped side, so its join splits. Rows with equal doc_id and text are one document and get the same result.
@@ -40,20 +42,43 @@ def units(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def digest(unit: str) -> bytes:
-    return blake2b(" ".join(unit.lower().split()).encode(), digest_size=16).digest()
+def digest(run: list[str], mark: str = "") -> bytes:
+    return blake2b((mark + "\n".join(run)).encode(), digest_size=16).digest()
 
 
 def document_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.sha2(F.coalesce("text", F.lit("")), 256))
 
 
+def runs(words: list[int], least: int) -> set[tuple[int, int]]:
+    """(first unit, number of units) of what is hashed: long units, and the least runs that start or end with a short one."""
+    if sum(words) < least:
+        return {(0, len(words))} if words else set()
+    out = set()
+    for i, n in enumerate(words):
+        if n >= least:
+            out.add((i, 1))
+            continue
+        for step in (1, -1):
+            k, held = i, n
+            while held < least and 0 <= k + step < len(words):
+                k += step
+                held += words[k]
+            if held >= least:
+                out.add((min(i, k), abs(k - i) + 1))
+    return out
+
+
 def _hashed(texts: list[bytes], least: int) -> dict:
     rows = []
     for t in texts:
         text = t.decode()
-        rows.append([{"digest": digest(text[a:b]), "place": i} for i, (a, b, n) in enumerate(units(text)) if n >= least])
-    return {"units": pa.array(rows, pa.list_(pa.struct([("digest", pa.binary()), ("place", pa.int32())])))}
+        found = units(text)
+        plain = [" ".join(text[a:b].lower().split()) for a, b, _ in found]
+        words = [n for _, _, n in found]
+        mark = "\0" if sum(words) < least else ""
+        rows.append([{"digest": digest(plain[i : i + k], mark), "place": i, "size": k} for i, k in sorted(runs(words, least))])
+    return {"units": pa.array(rows, pa.list_(pa.struct([("digest", pa.binary()), ("place", pa.int32()), ("size", pa.int32())])))}
 
 
 def _spans(text: str, gone: set[int], least: int) -> list[tuple[int, int]]:
@@ -73,11 +98,14 @@ def _spans(text: str, gone: set[int], least: int) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, n_units, n_removed, n_removed_chars, removed (start and end offsets in the original text), text (what stays) for each row of docs (doc_id, text)."""
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), document_key().alias("row"))
-    marks = map_texts(keyed, ["doc_id", "row"], "text", lambda t: _hashed(t, least_words), "units array<struct<digest:binary,place:int>>")
+    marks = map_texts(keyed, ["doc_id", "row"], "text", lambda t: _hashed(t, least_words), "units array<struct<digest:binary,place:int,size:int>>")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "place")
     marks = marks.select("doc_id", "row", F.explode("units").alias("u")).select("doc_id", "row", "u.*")
     first = marks.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
     later = marks.join(first, "digest").filter(rank != F.col("first"))
+    end = F.col("place") + F.col("size") - 1
+    start = F.when(F.col("first.row") == F.col("row"), F.greatest("place", F.col("first.place") + F.col("size"))).otherwise(F.col("place"))
+    later = later.select("row", F.explode(F.when(start <= end, F.sequence(start, end))).alias("place"))
     gone = later.groupBy("row").agg(F.collect_set("place").alias("gone"))
 
     def cut(batches):

@@ -243,3 +243,13 @@ def test_lm_sample_is_random(spark, monkeypatch):
     sp = lm_score.subwords(PIECES).sp
     firsts = [sp.decode(x.tolist())[0] for x in np.split(ids, np.cumsum(sizes)[:-1])]
     assert 10 < len(firsts) < 60 and min(firsts) < "h" and max(firsts) > "s" and (ids == again).all()
+
+
+def test_substring_dedup_short_units(spark):
+    verse = "Rain falls.\nThe sea calls.\nNo one hears.\nOnly stones."
+    long = "A sentence of more than five words."
+    docs = table(spark, [verse, verse, f"Own words here.\n{verse}\n{long}", f"{long} The end.", f"Ah. {long} The end.", "Tiny.", "tiny.", "Ha. " * 12])
+    got = by_id(substring_dedup.remove_repeats(docs))
+    assert got[0].text == verse and got[1].text == "" and got[2].text.split() == f"Own words here. {long}".split()
+    assert got[3].text.strip() == "The end." and got[4].text.strip() == "Ah."
+    assert (got[5].text, got[6].text, got[7].text.split()) == ("Tiny.", "", ["Ha."] * 5)
