@@ -1,10 +1,12 @@
 """Line dedup by pairwise alignment.
 
-Lines of `least_words` words or more are hashed to 128 bits, white space around them aside. Documents that share such a
-line overlap; each later one is paired with the earliest document that has the line, not with every other one, so the
+Lines are hashed to 128 bits, white space around them aside. Documents that share a line of `least_words` words or more,
+or a run of shorter lines that has as many together, overlap; each later one is paired with the earliest document that has the line, not with every other one, so the
 pairs grow with the repeated lines and no group is expanded: the earliest document is how a line that thousands share
 stays as cheap as a rare one, without a cap on either. Each pair is aligned by patience diff over all lines, short ones
-included; aligned common blocks of `least_words` words or more are deleted from the later document.
+included, and by a longest common subsequence where no line is unique; aligned common blocks of `least_words` words or
+more are deleted from the later document. Common blocks that no one alignment holds, since the later document repeats
+them or has them in another order, are deleted too.
 
 Only hashes travel; the texts are shuffled once, to meet the line numbers that go. Rows with equal doc_id and text are
 one document and get the same result. Order is by doc_id, null last, then by text hash.
@@ -18,6 +20,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,8 +54,33 @@ def anchors(a: list, b: list, alo: int, ahi: int, blo: int, bhi: int) -> list[tu
     return out[::-1]
 
 
+def subsequence(a: list, b: list, alo: int, ahi: int, blo: int, bhi: int) -> list[tuple[int, int]]:
+    """A longest common subsequence, a row of the table in the bits of one integer (0: longer here than one line of b before)."""
+    both = set(a[alo:ahi]) & set(b[blo:bhi])
+    left, right = [i for i in range(alo, ahi) if a[i] in both], [j for j in range(blo, bhi) if b[j] in both]
+    places: dict = {}
+    for k, j in enumerate(right):
+        places[b[j]] = places.get(b[j], 0) | 1 << k
+    whole = (1 << len(right)) - 1
+    rows, now = [], whole
+    for i in left:
+        u = now & places[a[i]]
+        now = ((now + u) | (now - u)) & whole
+        rows.append(now)
+    out, x, y = [], len(left), len(right)
+    while x and y:
+        if rows[x - 1] >> (y - 1) & 1:
+            y -= 1
+            continue
+        x -= 1
+        if not x or rows[x - 1] >> (y - 1) & 1:
+            y -= 1
+            out.append((left[x], right[y]))
+    return out
+
+
 def patience(a: list, b: list) -> list[tuple[int, int]]:
-    """Aligned equal lines (i, j): equal heads and tails, then unique common lines, then the same between them."""
+    """Aligned equal lines (i, j): equal heads and tails, then unique common lines, then the same between them; a longest common subsequence where none is unique."""
     out: list[tuple[int, int]] = []
     work = [(0, len(a), 0, len(b))]
     while work:
@@ -67,6 +95,7 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
             continue
         marks = anchors(a, b, alo, ahi, blo, bhi)
         if not marks:
+            out += subsequence(a, b, alo, ahi, blo, bhi)
             continue
         for (i, j), (k, m) in zip([(alo - 1, blo - 1), *marks], [*marks, (ahi, bhi)], strict=True):
             if k < ahi:
@@ -75,17 +104,61 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def seeds(words: list, least: int) -> list[tuple[int, int]]:
+    """First and last line of the least blocks of enough words: long lines, and runs that start with each short one; None among words ends a run."""
+    out = []
+    for j, n in enumerate(words):
+        k, held = j, n or 0
+        while 0 < held < least and k + 1 < len(words) and words[k + 1] is not None and words[k + 1] < least:
+            k += 1
+            held += words[k]
+        if held >= least:
+            out.append((j, k))
+    return out
+
+
 def common_lines(a: list, b: list, words: list[int], least: int) -> list[int]:
-    """The lines of b in aligned blocks of enough words."""
-    out: list[int] = []
+    """The lines of b in aligned blocks of enough words, and in common blocks of so many that the alignment leaves."""
+    gone: set[int] = set()
     block: list[tuple[int, int]] = []
     for x in [*patience(a, b), (-9, -9)]:
         if block and (x[0] != block[-1][0] + 1 or x[1] != block[-1][1] + 1):
             if sum(words[j] for _, j in block) >= least:
-                out += [j for _, j in block]
+                gone.update(j for _, j in block)
             block = []
         block.append(x)
-    return out
+    rest = [(j, k) for j, k in seeds(words, least) if any(x not in gone for x in range(j, k + 1))]
+    if rest:
+        size, starts = dict(zip(b, words, strict=True)), {}
+        for i, k in seeds([size.get(x) for x in a], least):
+            starts.setdefault(tuple(a[i : k + 1]), []).append(i)
+        for j, k in rest:
+            first = starts.get(tuple(b[j : k + 1]), [])
+            if first:
+                gone.update(range(j, k + 1))
+            for y, step in ((k, 1), (j, -1)):
+                at = [i + y - j for i in first]
+                while at and 0 <= y + step < len(b) and words[y + step] < least:
+                    y += step
+                    at = [i + step for i in at if 0 <= i + step < len(a) and a[i + step] == b[y]]
+                    if at:
+                        gone.add(y)
+    return sorted(gone)
+
+
+def keys(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """A row for each distinct long line, and run of short lines, of a document."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 256):
+            part = batch.slice(k, 256)
+            rows = part.select(["h", "n"]).to_pydict()
+            at, found = [], []
+            for x, (h, n) in enumerate(zip(rows["h"], rows["n"], strict=True)):
+                own = {h[i] if i == e else blake2b(b"".join(h[i : e + 1]), digest_size=16).digest() for i, e in seeds(n, least)}
+                at += [x] * len(own)
+                found += own
+            kept = part.select(["row", "doc_id"]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(found, pa.binary())], ["row", "doc_id", "h"])
 
 
 def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -96,7 +169,8 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, carry: tuple[st
     words = F.transform(lines, lambda x: F.regexp_count(x, F.lit(r"\S+")))
     table = keyed.select("row", "doc_id", hashes.alias("h"), words.alias("n"))
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
-    each = table.select("row", rank.alias("rank"), F.explode(F.array_distinct(F.transform(F.filter(F.arrays_zip("h", "n"), lambda x: x.n >= least_words), lambda x: x.h))).alias("h"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    each = table.mapInArrow(lambda batches: keys(batches, least_words), f"row long, doc_id {kind}, h binary").select("row", rank.alias("rank"), "h")
     first = each.groupBy("h").agg(F.min("rank").alias("first"), F.count("*").alias("docs")).filter("docs > 1")
     met = each.join(first, "h").filter(F.col("rank") != F.col("first"))
     pairs = met.select("row", F.col("first.row").alias("other")).distinct()

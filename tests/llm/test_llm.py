@@ -253,3 +253,23 @@ def test_substring_dedup_short_units(spark):
     assert got[0].text == verse and got[1].text == "" and got[2].text.split() == f"Own words here. {long}".split()
     assert got[3].text.strip() == "The end." and got[4].text.strip() == "Ah."
     assert (got[5].text, got[6].text, got[7].text.split()) == ("Tiny.", "", ["Ha."] * 5)
+
+
+def test_line_dedup_repeats_and_order(spark):
+    x, y, z = prose(1, 12), prose(2, 12), prose(3, 12)
+    verse = "one two three\n\nfour five six\nseven eight nine"
+    docs = table(spark, [f"{x}\n{y}\nshort end", f"own\n{x}\nmid\n{x}\nlast", f"{y}\nshort end\n{z}\n{x}", verse, f"other\n{verse}\nthings", verse.replace("six", "6")])
+    got = by_id(line_dedup.dedup_lines(docs))
+    assert [got[i].text for i in range(6)] == [f"{x}\n{y}\nshort end", "own\nmid\nlast", z, verse, "other\nthings", verse.replace("six", "6")]
+
+
+def test_patience_without_unique_lines():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        a, b = ([int(v) for v in rng.integers(0, 3, rng.integers(0, 12))] for _ in range(2))
+        best = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, j in itertools.product(range(len(a)), range(len(b))):
+            best[i + 1, j + 1] = best[i, j] + 1 if a[i] == b[j] else max(best[i, j + 1], best[i + 1, j])
+        got = sorted(line_dedup.subsequence(a, b, 0, len(a), 0, len(b)))
+        assert len(got) == best[-1, -1] and all(a[i] == b[j] for i, j in got) and all(p[0] < q[0] and p[1] < q[1] for p, q in itertools.pairwise(got))
+    assert line_dedup.patience(list("xpxp"), list("pxpx")) != []
