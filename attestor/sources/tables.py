@@ -10,15 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share: the session's spark.checkpoint.dir. Only a local master may do without, in a folder of its own."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if path:
         return path.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="attestor-"))
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="attestor-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     try:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
@@ -26,10 +28,32 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table: what follows may read it several times, and a lost executor costs a reread."""
+def written(df: DataFrame, name: str, into: list[str] | None = None) -> DataFrame:
+    """df as a table: what follows may read it several times, and a lost executor costs a reread, never a recomputation.
+
+    The table goes when the driver ends, or when its path, which is added to `into`, is given to remove().
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
+    if into is not None:
+        into.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables of one job, all removed at its end: what is returned must not read them any more."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        return written(df, name, self.paths)
+
+    def __exit__(self, *_: object) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
