@@ -57,7 +57,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar(_table(spark, sf_dir, "documents"))
+    return ngram_join.similar(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "n_similar", "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
