@@ -28,14 +28,14 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, name: str, into: list[str] | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, into: list[str] | None = None, **options: str) -> DataFrame:
     """df as a table: what follows may read it several times, and a lost executor costs a reread, never a recomputation.
 
     The table goes when the driver ends, or when its path, which is added to `into`, is given to remove().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     atexit.register(remove, spark, path)
     if into is not None:
         into.append(path)
@@ -51,8 +51,8 @@ class Scratch:
     def __enter__(self) -> Scratch:
         return self
 
-    def __call__(self, df: DataFrame, name: str) -> DataFrame:
-        return written(df, name, self.paths)
+    def __call__(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        return written(df, name, self.paths, **options)
 
     def __exit__(self, *_: object) -> None:
         for path in self.paths:
