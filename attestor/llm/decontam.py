@@ -31,7 +31,7 @@ SPAN, GRAM, WINDOW = 8, 4, 5
 #: Low bits of a fingerprint that hold its place in the text.
 PLACE_BITS = 28
 #: Bytes of the table that tells which fingerprints can be the benchmark's.
-SLOTS = 1 << 22
+SLOTS = 1 << 20
 #: The benchmark's fingerprints are broadcast up to this many rows (about 200 bytes each).
 BROADCAST_ROWS = 500_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
