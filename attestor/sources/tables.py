@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -54,6 +55,11 @@ class Scratch:
     def __call__(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         return written(df, name, self.paths, **options)
 
+    def sweep(self) -> None:
+        """Lets the session drop the shuffle files of tables that are written: nothing reads them any more."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def __exit__(self, *_: object) -> None:
         for path in self.paths:
             remove(self.spark, path)
