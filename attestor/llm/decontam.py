@@ -34,6 +34,8 @@ PLACE_BITS = 28
 SLOTS = 1 << 20
 #: The benchmark's fingerprints are broadcast up to this many rows (about 200 bytes each).
 BROADCAST_ROWS = 500_000
+#: The results of documents with hits meet all documents in a broadcast up to this many rows (about 150 bytes each).
+RESULT_ROWS = 200_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BETWEEN = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 
@@ -114,15 +116,23 @@ def _reach(mine: str, other: str, offsets: range) -> Column:
 def contamination(docs: DataFrame, benchmark: DataFrame, least_items: int = 2, broadcast_rows: int = BROADCAST_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (and the carried columns) for each row of docs (doc_id, text)."""
     with Scratch(docs.sparkSession) as scratch:
-        return stash(_contamination(docs, benchmark, least_items, broadcast_rows, carry, scratch), "decontam-result")
+        read, result = _found(docs, benchmark, broadcast_rows, carry, scratch)
+    zero = F.lit(0).cast("long")
+    result = F.broadcast(result) if result.count() <= RESULT_ROWS else result
+    return read.join(result, "row", "left").select(
+        "doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.coalesce("n_items", zero) >= least_items).alias("contaminated"),
+        *[F.col(f"carried_{c}").alias(c) for c in carry],
+    )
 
 
-def _contamination(docs: DataFrame, benchmark: DataFrame, least_items: int, broadcast_rows: int, carry: tuple[str, ...], stash: Scratch) -> DataFrame:
+def _found(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int, carry: tuple[str, ...], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Two tables that stay: the rows as they were read, and the results of those that have any."""
     items = benchmark.select("item_id", word_hashes(F.col("text")).alias("h")).select("item_id", "h", F.size("h").alias("size")).filter("size > 0")
-    items = stash(items, "decontam-items")
+    items = scratch(items, "decontam-items")
     long, short = items.filter(F.col("size") >= SPAN), items.filter(F.col("size") < SPAN)
     marks = marked(long, ["item_id"], None).select("item_id", F.explode("marks").alias("x")).select("item_id", "x.fp", F.col("x.c").alias("ic"))
-    marks = stash(marks.groupBy("fp", "ic").agg(F.collect_set("item_id").alias("items")), "decontam-marks")
+    marks = scratch(marks.groupBy("fp", "ic").agg(F.collect_set("item_id").alias("items")), "decontam-marks")
     lengths = sorted(r["size"] for r in short.select("size").distinct().collect())
     carried = [f"carried_{c}" for c in carry]
     read = docs.select("doc_id", word_hashes(F.col("text")).alias("h"), *[F.col(c).alias(n) for c, n in zip(carry, carried, strict=True)])
@@ -130,7 +140,7 @@ def _contamination(docs: DataFrame, benchmark: DataFrame, least_items: int, broa
     found_runs = F.array().cast("array<struct<length:int,fp:bigint,place:int>>")
     if lengths:
         own = short.select("item_id", "size", F.explode(short_runs(lengths, None)).alias("x")).filter("x.length = size")
-        runs = stash(own.groupBy("x.length", "x.fp").agg(F.collect_set("item_id").alias("items")), "decontam-runs")
+        runs = scratch(own.groupBy("x.length", "x.fp").agg(F.collect_set("item_id").alias("items")), "decontam-runs")
         found_runs = short_runs(lengths, slots(runs))
     read = read.select(F.monotonically_increasing_id().alias("row"), "doc_id", *carried, F.size("h").cast("long").alias("n_words"), "marks", found_runs.alias("runs"))
     read = stash(read, "decontam-read")
@@ -142,16 +152,11 @@ def _contamination(docs: DataFrame, benchmark: DataFrame, least_items: int, broa
     if lengths:
         more = read.select("row", F.explode("runs").alias("x")).select("row", "x.*").join(side(runs), ["length", "fp"])
         found = found.unionByName(more.select("row", "items", F.col("place").alias("first"), (F.col("place") + F.col("length") - 1).alias("last")))
-    found = stash(found, "decontam-hits")
+    found = scratch(found, "decontam-hits")
     words = found.select("row", F.explode(F.sequence("first", "last")).alias("w")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
     ids = found.select("row", F.explode("items").alias("item")).distinct().groupBy("row").agg(F.sort_array(F.collect_list(F.col("item").cast("string"))).alias("ids"))
     result = words.join(ids, "row", "left").select("row", "n_hit", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "ids"), 256).alias("items_sha256"))
-    zero = F.lit(0).cast("long")
-    return read.join(result, "row", "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"),
-        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.coalesce("n_items", zero) >= least_items).alias("contaminated"),
-        *[F.col(n).alias(c) for c, n in zip(carry, carried, strict=True)],
-    )
+    return read, stash(result, "decontam-result")
 
 
 CONTAMINATION_SQL = r"""

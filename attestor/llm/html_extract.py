@@ -1,13 +1,15 @@
 """Main text of web pages by the maximum-scoring subsequence.
 
-A page becomes a sequence of words and tags. Words score positive, tags negative, by weights learned from labelled
-pages (html, main text): a tag's penalty grows with the share of its kind that lies outside main texts. Elements whose
-name or class, id and role words hold almost no main text on the labelled pages (menus, footers, adverts, comments and
-such) are left out, words and all. One linear scan then finds the contiguous region of greatest score, and its text
-comes out block by block.
+A page becomes a sequence of words and tags. A word's score is learned from labelled pages (html, main text): a logistic
+regression on the open elements around it (their names, and the words of their class, id and role) gives main text
+positive and the rest negative scores, between BEST and WORST; a tag's penalty grows with the share of its kind that lies
+outside main texts. One linear scan finds the contiguous region of greatest score. Its text comes out block by block;
+blocks of negative score inside it, such as an advert between two paragraphs, are left out.
 
 Map-only; nothing but a page is held at a time. Defined results: a null, empty or text-less page gives an empty text;
-broken or unclosed markup is read as far as it goes; repeated rows get equal results.
+broken or unclosed markup is read as far as it goes; where no word scores above 0 (an element of the margin that never
+ends), all words count alike; of regions with equal scores the first is taken; repeated rows, null ids and very long
+pages are read like any other; other columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ from .common import map_texts
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
-    r"|<(script|style|noscript|template|iframe|svg|math|object|canvas|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(noscript|template|iframe|svg|math|object|canvas|textarea|select)\b[^>]*>.*?</\2\s*>"
     r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-z][^\s/>]*)([^>]*)>",
     re.S | re.I,
 )
@@ -34,11 +37,15 @@ HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*.?true|display\
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 SPACED = frozenset(["br"])
+#: Controls end where one of these begins.
+CONTROLS = frozenset("select option optgroup textarea button label".split())
+BLOCKS = frozenset("address article aside blockquote div dl figure footer form h1 h2 h3 h4 h5 h6 header main nav ol p pre section table ul".split())
+BEST, WORST = 1.0, -2.0
 
 
 def element_words(name: str, attributes: str) -> list[str]:
-    """The element's features: its name, and the words of its class, id and role."""
-    out = [f"<{name}"]
+    """The element's features: its name (inline ones only where they are links), and the words of its class, id and role."""
+    out = [f"<{name}"] if name == "a" or name not in INLINE else []
     if attributes:
         for m in NAMED.finditer(attributes):
             out += [w.lower() for w in PART.findall(m[1] or m[2] or m[3] or "")]
@@ -48,111 +55,112 @@ def element_words(name: str, attributes: str) -> list[str]:
 
 
 class Weights:
-    """Penalties by tag name, and the features of elements that are left out."""
+    """Scores by feature of the open elements, and penalties by tag name."""
 
     def __init__(self) -> None:
         self.tags: dict[str, float] = {}
-        self.dropped: frozenset[str] = frozenset()
-        self.other = -0.5
-
-    def drops(self, name: str, attributes: str, within: set[str]) -> bool:
-        if name in ("body", "html", "main"):
-            return False
-        found = element_words(name, attributes)[name == "article" :]
-        if name == "header" and "article" in within:
-            found = found[1:]
-        return not self.dropped.isdisjoint(found)
-
-    def fit(self, pages: list[tuple[str, str]], least: int = 12, share: float = 0.08, scale: float = 4.0) -> Weights:
-        inside, words = Counter(), Counter()
-        for page, main in pages:
-            for text, open_features, _ in walk(page, None):
-                if text and (n := len(text.split())):
-                    good = " ".join(refs.unescape(text).split()) in main
-                    for f in open_features:
-                        words[f] += n
-                        inside[f] += n * good
-        self.dropped = frozenset(f for f, n in words.items() if n >= least and inside[f] <= share * n)
+        self.words: dict[str, float] = {}
+        self.other, self.bias = -0.5, BEST
+
+    def score(self, features: frozenset[str]) -> float:
+        """Of a word."""
+        return max(WORST, min(BEST, self.bias + sum(self.words.get(f, 0.0) for f in features)))
+
+    def fit(self, pages: list[tuple[str, str]], rounds: int = 1200, rate: float = 0.1, decay: float = 1e-5, scale: float = 4.0) -> Weights:
+        kinds: Counter[tuple[frozenset[str], bool]] = Counter()
         kept, seen = Counter(), Counter()
         for page, main in pages:
-            tokens = [(t, name) for t, _, name in walk(page, self)]
-            flags = [" ".join(refs.unescape(t).split()) in main if t and t.strip() else None for t, _ in tokens]
+            tokens = walk(page)
+            flags = [" ".join(refs.unescape(t).split()) in main if t and t.strip() else None for t, _, _ in tokens]
             known = [i for i, f in enumerate(flags) if f]
             first, last = (known[0], known[-1]) if known else (0, -1)
-            for i, (_, name) in enumerate(tokens):
+            for i, ((text, features, name), good) in enumerate(zip(tokens, flags, strict=True)):
+                if good is not None:
+                    kinds[features, good] += len(text.split())
                 if name:
                     seen[name] += 1
                     kept[name] += first - 1 <= i <= last + 1
         self.tags = {t: -(0.02 + scale * (1 - kept[t] / n) ** 2) for t, n in seen.items()}
+        names = sorted({f for features, _ in kinds for f in features})
+        at = {f: i for i, f in enumerate(names)}
+        x = np.zeros((len(kinds), len(names) + 1))
+        for i, (features, _) in enumerate(kinds):
+            x[i, [at[f] for f in features]] = 1
+        x[:, -1] = 1
+        y = np.array([good for _, good in kinds], float)
+        # Each kind of place counts by the root of its words, each side as much as the other.
+        n = np.sqrt(np.array(list(kinds.values()), float))
+        for side in (0, 1):
+            n[y == side] /= max(n[y == side].sum(), 1e-9)
+        w, m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1), np.zeros(len(names) + 1)
+        for step in range(1, rounds + 1):
+            g = x.T @ (n * (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) - y)) + decay * w
+            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+            w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        self.words, self.bias = {f: float(w[i]) for f, i in at.items()}, float(w[-1])
         return self
 
 
-def walk(page: str, weights: Weights | None):
-    """(text, features of the open elements, tag name) in page order; with weights, without the elements left out."""
-    stack: list[tuple[str, bool, list[str]]] = []
-    out, at, off = [], 0, 0
-    within: set[str] = set()
+def walk(page: str) -> list[tuple[str | None, frozenset[str], str | None]]:
+    """(text, features of the open elements, tag name) in page order."""
+    stack: list[tuple[str, frozenset[str]]] = []
+    out, at, none = [], 0, frozenset()
 
-    def features() -> set[str]:
-        return {f for _, _, own in stack for f in own} if weights is None else within
+    def features() -> frozenset[str]:
+        return stack[-1][1] if stack else none
 
     for m in TOKEN.finditer(page):
-        if m.start() > at and not off:
+        if m.start() > at:
             out.append((page[at : m.start()], features(), None))
         at = m.end()
-        close, name, attributes = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
+        close, name, attributes = (m[3], m[4], m[5]) if m[4] else (m[6], m[7], m[8])
         if not name:
             continue
         name = name.lower()
         if close:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    off -= sum(d for _, d, _ in stack[k:])
                     del stack[k:]
-                    if name in ("article", "main"):
-                        within = {n for n, _, _ in stack} & {"article", "main"}
                     break
             else:
                 if name not in ("p", "br"):
                     continue
         elif name not in VOID:
-            if name in ("article", "main"):
-                within = within | {name}
-            if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == name:
-                off -= stack.pop()[1]
-            drop = bool(weights and weights.drops(name, attributes, within))
-            stack.append((name, drop, element_words(name, attributes) if weights is None else ()))
-            off += drop
-        if not off:
-            out.append((None, features(), name))
-    if at < len(page) and not off:
+            while stack and (name in BLOCKS and stack[-1][0] in CONTROLS or name == stack[-1][0] and name in ("p", "li", "tr", "td", "th", "dt", "dd", "option")):
+                stack.pop()
+            stack.append((name, features() | frozenset(element_words(name, attributes))))
+        out.append((None, features(), name))
+    if at < len(page):
         out.append((page[at:], features(), None))
     return out
 
 
 def extract(page: str, weights: Weights) -> str:
-    """The best region's text; where nothing is left without the dropped elements (one may never end), that of all elements."""
-    return region(walk(page, weights), weights) or region([(t, f, n) for t, f, n in walk(page, None) if "<head" not in f and "<title" not in f], weights)
+    """The best region's text; where no word scores above 0, that of all words but the title's."""
+    tokens = walk(page)
+    known = {f: weights.score(f) for f in {f for t, f, _ in tokens if t}}
+    return region(tokens, weights, known) or region([t for t in tokens if "<head" not in t[1] and "<title" not in t[1]], weights, {})
 
 
-def region(tokens: list, weights: Weights) -> str:
+def region(tokens: list, weights: Weights, known: dict[frozenset[str], float]) -> str:
     best, here, start, span = 0.0, 0.0, 0, (0, 0)
-    for i, (text, _, name) in enumerate(tokens):
-        here += len(text.split()) if text else weights.tags.get(name, weights.other)
+    for i, (text, features, name) in enumerate(tokens):
+        here += len(text.split()) * known.get(features, BEST) if text else weights.tags.get(name, weights.other)
         if here <= 0:
             here, start = 0.0, i + 1
         elif here > best:
             best, span = here, (start, i + 1)
-    blocks, block = [], []
-    for text, _, name in tokens[span[0] : span[1]]:
+    blocks, block, total = [], [], 0.0
+    for text, features, name in [*tokens[span[0] : span[1]], (None, frozenset(), "p")]:
         if text:
             block.append(text)
+            total += len(text.split()) * known.get(features, BEST)
         elif name in SPACED:
             block.append(" ")
         elif name not in INLINE:
-            blocks.append("".join(block))
-            block = []
-    blocks.append("".join(block))
+            if total > 0:
+                blocks.append("".join(block))
+            block, total = [], 0.0
     cleaned = (" ".join(refs.unescape(b).split()) for b in blocks)
     return "\n\n".join(b for b in cleaned if b)
 

@@ -11,8 +11,8 @@ them or has them in another order, are deleted too.
 Only hashes travel; the texts are shuffled once, to meet the line numbers that go. Rows with equal doc_id and text are
 one document and get the same result. Order is by doc_id, null last, then by text hash.
 
-Defined results: a null or empty text has no lines and stays as it is; an empty table gives an empty result; other
-columns can be carried.
+Defined results: a null or empty text has no lines and stays as it is; very long texts are aligned whole; ties of ids go
+by the hash of id and text; an empty table gives an empty result; other columns can be carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,12 +23,16 @@ from collections.abc import Iterator
 from hashlib import blake2b
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stash
 from .substring_dedup import document_key
 
 LEAST_WORDS = 8
+#: White space around a line, which doesn't count.
+WHITE = " \t\r\x0b\x0c"
 
 
 def anchors(a: list, b: list, alo: int, ahi: int, blo: int, bhi: int) -> list[tuple[int, int]]:
@@ -146,31 +150,42 @@ def common_lines(a: list, b: list, words: list[int], least: int) -> list[int]:
     return sorted(gone)
 
 
+def slices(batches: Iterator[pa.RecordBatch], lines: str, most: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """Slices of at most so many lines (one row at least)."""
+    for batch in batches:
+        start, held = 0, 0
+        for i, n in enumerate(pc.fill_null(pc.list_value_length(batch.column(batch.schema.get_field_index(lines))), 0).to_pylist()):
+            if i > start and held + n > most:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += n
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
 def keys(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """A row for each distinct long line, and run of short lines, of a document."""
-    for batch in batches:
-        for k in range(0, batch.num_rows, 256):
-            part = batch.slice(k, 256)
-            rows = part.select(["h", "n"]).to_pydict()
-            at, found = [], []
-            for x, (h, n) in enumerate(zip(rows["h"], rows["n"], strict=True)):
-                own = {h[i] if i == e else blake2b(b"".join(h[i : e + 1]), digest_size=16).digest() for i, e in seeds(n, least)}
-                at += [x] * len(own)
-                found += own
-            kept = part.select(["row", "doc_id"]).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(found, pa.binary())], ["row", "doc_id", "h"])
+    for part in slices(batches, "h"):
+        rows = part.select(["h", "n"]).to_pydict()
+        at, found = [], []
+        for x, (h, n) in enumerate(zip(rows["h"], rows["n"], strict=True)):
+            own = {h[i] if i == e else blake2b(b"".join(h[i : e + 1]), digest_size=16).digest() for i, e in seeds(n, least)}
+            at += [x] * len(own)
+            found += own
+        kept = part.select(["row", "doc_id"]).take(pa.array(at, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(found, pa.binary())], ["row", "doc_id", "h"])
 
 
 def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (line numbers from 0), text (what stays), and the carried columns, for each row of docs (doc_id, text)."""
     keyed = docs.select(document_key().alias("row"), "doc_id", "text", *[F.col(c).alias(f"carried_{c}") for c in carry])
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    hashes = F.transform(lines, lambda x: F.unhex(F.md5(F.trim(x))))
+    hashes = F.transform(lines, lambda x: F.unhex(F.md5(F.btrim(x, F.lit(WHITE)))))
     words = F.transform(lines, lambda x: F.regexp_count(x, F.lit(r"\S+")))
-    table = keyed.select("row", "doc_id", hashes.alias("h"), words.alias("n"))
+    table = stash(keyed.select("row", "doc_id", hashes.alias("h"), words.alias("n")), "line-hashes")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    each = table.mapInArrow(lambda batches: keys(batches, least_words), f"row long, doc_id {kind}, h binary").select("row", rank.alias("rank"), "h")
+    each = table.mapInArrow(lambda batches: keys(batches, least_words), f"row binary, doc_id {kind}, h binary").select("row", rank.alias("rank"), "h")
     first = each.groupBy("h").agg(F.min("rank").alias("first"), F.count("*").alias("docs")).filter("docs > 1")
     met = each.join(first, "h").filter(F.col("rank") != F.col("first"))
     pairs = met.select("row", F.col("first.row").alias("other")).distinct()
@@ -178,13 +193,13 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, carry: tuple[st
     sides = pairs.join(plain.select(F.col("row").alias("other"), F.col("h").alias("earlier")), "other").join(plain, "row").select("row", "earlier", "h", "n")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                rows = batch.slice(k, 256).to_pydict()
+        for batch in slices(batches, "earlier"):
+            for part in slices(iter([batch]), "h"):
+                rows = part.to_pydict()
                 gone = [common_lines(a, b, n, least_words) for a, b, n in zip(rows["earlier"], rows["h"], rows["n"], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(rows["row"], pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["row", "gone"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows["row"], pa.binary()), pa.array(gone, pa.list_(pa.int32()))], ["row", "gone"])
 
-    gone = sides.mapInArrow(align, "row long, gone array<int>").select("row", F.explode("gone").alias("line")).groupBy("row").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+    gone = sides.mapInArrow(align, "row binary, gone array<int>").select("row", F.explode("gone").alias("line")).groupBy("row").agg(F.sort_array(F.collect_set("line")).alias("removed"))
     none = F.array().cast("array<int>")
     joined = keyed.join(gone, "row", "left").withColumn("removed", F.coalesce("removed", none))
     rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("removed", i)), "\n")

@@ -7,11 +7,15 @@ shorter unit is hashed with its neighbours: the least run of units that starts w
 it, of `least_words` words or more; a text with fewer words is one run, which meets whole texts only. Runs that overlap
 their own earliest occurrence leave it whole. A short unit also goes when the units on both sides of it go.
 
-Digests are pre-aggregated before they are shuffled, and a digest that a third of all rows share is one row on the
-grouped side, so its join splits. Rows with equal doc_id and text are one document and get the same result.
+Only passages go: a run of neighbouring units that an earlier place has counts from `least_run` words on, or where it
+is the whole text. A sentence that two documents happen to share stays.
 
-Defined results: a null or empty text has no units and comes back empty; null ids rank last; an empty table gives an
-empty result; columns beside doc_id and text are ignored.
+Digests are written once, pre-aggregated before they are shuffled, and a digest that a third of all rows share is one row
+on the grouped side, so its join splits. Rows with equal doc_id and text are one document and get the same result.
+
+Defined results: a null or empty text has no units and comes back empty; null ids rank last, and ties of ids go by a hash
+of the text, then by place; very long texts are cut whole, a slice of whole texts at a time; an empty table gives an
+empty result; columns beside doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, stash
 
 GAP = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
-LEAST_WORDS = 5
+LEAST_WORDS, LEAST_RUN = 5, 20
 
 
 def units(text: str) -> list[tuple[int, int, int]]:
@@ -47,7 +51,8 @@ def digest(run: list[str], mark: str = "") -> bytes:
 
 
 def document_key() -> Column:
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.sha2(F.coalesce("text", F.lit("")), 256))
+    """128 bits of id and text."""
+    return F.unhex(F.md5(F.concat_ws("\0", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit("")))))
 
 
 def runs(words: list[int], least: int) -> set[tuple[int, int]]:
@@ -81,11 +86,17 @@ def _hashed(texts: list[bytes], least: int) -> dict:
     return {"units": pa.array(rows, pa.list_(pa.struct([("digest", pa.binary()), ("place", pa.int32()), ("size", pa.int32())])))}
 
 
-def _spans(text: str, gone: set[int], least: int) -> list[tuple[int, int]]:
+def _spans(text: str, gone: set[int], least: int, least_run: int) -> list[tuple[int, int]]:
     found = units(text)
     for i in range(1, len(found) - 1):
         if found[i][2] < least and i - 1 in gone and i + 1 in gone:
             gone.add(i)
+    for i in sorted(gone):
+        if i - 1 in gone:
+            continue
+        end = next(k for k in range(i + 1, len(found) + 1) if k not in gone)
+        if sum(n for _, _, n in found[i:end]) < least_run and end - i < len(found):
+            gone.difference_update(range(i, end))
     out: list[tuple[int, int]] = []
     for i in sorted(gone):
         if i - 1 in gone and out:
@@ -95,10 +106,11 @@ def _spans(text: str, gone: set[int], least: int) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, least_run: int = LEAST_RUN) -> DataFrame:
     """doc_id, n_units, n_removed, n_removed_chars, removed (start and end offsets in the original text), text (what stays) for each row of docs (doc_id, text)."""
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), document_key().alias("row"))
     marks = map_texts(keyed, ["doc_id", "row"], "text", lambda t: _hashed(t, least_words), "units array<struct<digest:binary,place:int,size:int>>")
+    marks = stash(marks, "substring-marks")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "place")
     marks = marks.select("doc_id", "row", F.explode("units").alias("u")).select("doc_id", "row", "u.*")
     first = marks.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
@@ -116,12 +128,13 @@ def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
             counts, removed, left, chars = [], [], [], []
             for raw, p in zip(texts, places, strict=True):
                 text = raw.decode()
-                spans = _spans(text, set(p), least_words) if p else []
+                own = set(p or ())
+                spans = _spans(text, own, least_words, least_run) if own else []
                 keep, at = [], 0
                 for a, b in spans:
                     keep.append(text[at:a])
                     at = b
-                counts.append((len(units(text)), len(p or ())))
+                counts.append((len(units(text)), len(own)))
                 left.append("".join([*keep, text[at:]]))
                 removed.append([{"start": a, "end": b} for a, b in spans])
                 chars.append(sum(b - a for a, b in spans))

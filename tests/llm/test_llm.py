@@ -210,8 +210,9 @@ def test_lm(spark):
     model = lm_score.Model(np.minimum(np.arange(32000), lm_score.RANKS - 1).astype(np.int32))
     model.set_bigrams(np.ones((lm_score.RANKS, lm_score.RANKS)), np.ones(32000))
     ids = np.arange(3, 90, dtype=np.int32)
-    whole = model.score(ids, np.array([40, 47]))
-    assert np.allclose(whole, [model.score(ids[:40], np.array([40]))[0], model.score(ids[40:], np.array([47]))[0]], rtol=1e-4)
+    whole, ends = model.token_logs(ids, np.array([40, 47]))
+    (a, x), (b, y) = model.token_logs(ids[:40], np.array([40])), model.token_logs(ids[40:], np.array([47]))
+    assert np.allclose(whole, [*a, *b], rtol=1e-3) and np.allclose(ends, [*x, *y], rtol=1e-3)
 
 
 def test_lm_counts_all_training_texts(spark, monkeypatch):
@@ -249,7 +250,7 @@ def test_substring_dedup_short_units(spark):
     verse = "Rain falls.\nThe sea calls.\nNo one hears.\nOnly stones."
     long = "A sentence of more than five words."
     docs = table(spark, [verse, verse, f"Own words here.\n{verse}\n{long}", f"{long} The end.", f"Ah. {long} The end.", "Tiny.", "tiny.", "Ha. " * 12])
-    got = by_id(substring_dedup.remove_repeats(docs))
+    got = by_id(substring_dedup.remove_repeats(docs, least_run=1))
     assert got[0].text == verse and got[1].text == "" and got[2].text.split() == f"Own words here. {long}".split()
     assert got[3].text.strip() == "The end." and got[4].text.strip() == "Ah."
     assert (got[5].text, got[6].text, got[7].text.split()) == ("Tiny.", "", ["Ha."] * 5)
