@@ -5,12 +5,13 @@ rereads as the next one's docs. All but the last return the columns of documents
 
 quality          documents that the classifier rejects go
 line_dedup       lines that align with an earlier document's go; a document that loses all its text goes
-near_duplicates  of each linked group the document of the least id stays; of rows that repeat id and text, one
-decontamination  documents with any word run of a benchmark item go
+near_duplicates  of each linked group one document stays: that of the least id, and of rows that share it, of the least
+                 text hash; of rows that repeat id and text, one
+decontamination  rows with any word run of a benchmark item go
 mix              a manifest: for each document its words, and how many of them the mix takes
 
-Null texts and empty texts are judged like any other; null ids are kept where no stage rejects them; columns beside
-those of documents are dropped; an empty table stays empty.
+Null texts and empty texts are judged like any other; null ids rank last, and each row is judged by its own text; ties
+are rows that repeat id and text; columns beside those of documents are dropped; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -20,9 +21,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import common, decontam, line_dedup, mix, ngram_join, quality_cnn
+from attestor.llm import decontam, line_dedup, mix, ngram_join, quality_cnn
+from attestor.sources import tables
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Rows that are told by id and text hash are broadcast up to this many.
+BROADCAST_ROWS = 1_000_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,20 +42,25 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(*COLUMNS)
-    gone = ngram_join.similar(docs).filter("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    twice = common.stash(docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "pipeline-twice")
-    if twice.isEmpty():
-        return kept.select(*COLUMNS)
-    return kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(*COLUMNS)
+    found = ngram_join.similar(docs.select("doc_id", "text")).filter("component is not null")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    first = found.groupBy("component").agg(F.min(rank).alias("first"))
+    gone = found.join(first, "component").filter(rank != F.col("first")).select("doc_id", "text_hash").distinct()
+    twice = found.groupBy("doc_id", "text_hash").count().filter("count > 1").select("doc_id", "text_hash")
+    told = tables.written(gone.withColumn("gone", F.lit(True)).unionByName(twice.join(gone, ["doc_id", "text_hash"], "left_anti").withColumn("gone", F.lit(False))), "pipeline-near")
+    some = told.toDF("gone_id", "gone_hash", "gone")
+    some = F.broadcast(some) if told.count() <= BROADCAST_ROWS else some
+    hashed = docs.select(*COLUMNS).withColumn("text_hash", F.xxhash64("text"))
+    marked = hashed.join(some, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_hash") == F.col("gone_hash")), "left")
+    kept = marked.filter("gone is null").select(*COLUMNS)
+    if told.filter("not gone").isEmpty():
+        return kept
+    return kept.unionByName(marked.filter("not gone").dropDuplicates(["doc_id", "text_hash"]).select(*COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(*COLUMNS)
-    found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), least_items=1)
-    gone = found.filter("contaminated").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), least_items=1, carry=COLUMNS[1:])
+    return found.filter("not contaminated").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,12 +75,15 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mix", mix_sources),
 ]
 
-#: The classifier and the alignment are beyond SQL.
+#: The classifier and the alignment are beyond SQL; tests/llm has brute-force versions of the stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, paths = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
-        docs = common.stash(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = tables.written(stage(spark, docs, sf_dir), f"pipeline-{name}", paths)
+        for path in paths[:-1]:
+            tables.remove(spark, path)
+        del paths[:-1]
     return docs
