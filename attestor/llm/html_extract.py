@@ -3,7 +3,7 @@
 A page becomes a sequence of words and tags. A word's score is learned from labelled pages (html, main text): a logistic
 regression on the open elements around it (their names, and the words of their class, id and role) gives main text
 positive and the rest negative scores, between BEST and WORST; a tag's penalty grows with the share of its kind that lies
-outside main texts. One linear scan finds the contiguous region of greatest score. Its text comes out block by block;
+outside main texts though the words around it score above 0, and is WORST elsewhere. One linear scan finds the contiguous region of greatest score. Its text comes out block by block;
 blocks of negative score inside it, such as an advert between two paragraphs, are left out.
 
 Map-only; nothing but a page is held at a time. Defined results: a null, empty or text-less page gives an empty text;
@@ -40,7 +40,7 @@ SPACED = frozenset(["br"])
 #: Controls end where one of these begins.
 CONTROLS = frozenset("select option optgroup textarea button label".split())
 BLOCKS = frozenset("address article aside blockquote div dl figure footer form h1 h2 h3 h4 h5 h6 header main nav ol p pre section table ul".split())
-BEST, WORST = 1.0, -2.0
+BEST, WORST = 1.0, -0.25
 
 
 def element_words(name: str, attributes: str) -> list[str]:
@@ -66,21 +66,16 @@ class Weights:
         """Of a word."""
         return max(WORST, min(BEST, self.bias + sum(self.words.get(f, 0.0) for f in features)))
 
-    def fit(self, pages: list[tuple[str, str]], rounds: int = 1200, rate: float = 0.1, decay: float = 1e-5, scale: float = 4.0) -> Weights:
+    def fit(self, pages: list[tuple[str, str]], rounds: int = 1200, rate: float = 0.1, decay: float = 1e-5, scale: float = 2.0) -> Weights:
         kinds: Counter[tuple[frozenset[str], bool]] = Counter()
-        kept, seen = Counter(), Counter()
+        read = []
         for page, main in pages:
             tokens = walk(page)
-            flags = [" ".join(refs.unescape(t).split()) in main if t and t.strip() else None for t, _, _ in tokens]
-            known = [i for i, f in enumerate(flags) if f]
-            first, last = (known[0], known[-1]) if known else (0, -1)
-            for i, ((text, features, name), good) in enumerate(zip(tokens, flags, strict=True)):
+            flags = [placed(" ".join(refs.unescape(t).split()), main) if t else None for t, _, _ in tokens]
+            read.append((tokens, [i for i, f in enumerate(flags) if f]))
+            for (text, features, _), good in zip(tokens, flags, strict=True):
                 if good is not None:
                     kinds[features, good] += len(text.split())
-                if name:
-                    seen[name] += 1
-                    kept[name] += first - 1 <= i <= last + 1
-        self.tags = {t: -(0.02 + scale * (1 - kept[t] / n) ** 2) for t, n in seen.items()}
         names = sorted({f for features, _ in kinds for f in features})
         at = {f: i for i, f in enumerate(names)}
         x = np.zeros((len(kinds), len(names) + 1))
@@ -98,9 +93,24 @@ class Weights:
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         self.words, self.bias = {f: float(w[i]) for f, i in at.items()}, float(w[-1])
+        # Tags among words that score as main text does.
+        kept, seen = Counter(), Counter()
+        for tokens, known in read:
+            for i, (_, features, name) in enumerate(tokens):
+                if name and known and self.score(features) > 0:
+                    seen[name] += 1
+                    kept[name] += known[0] - 1 <= i <= known[-1] + 1
+        self.tags = {t: -(0.02 + scale * (1 - kept[t] / n) ** 2) for t, n in seen.items()}
         return self
 
 
+def placed(text: str, main: str) -> bool | None:
+    """Whether a text is of the main text; None where it is too short to tell."""
+    if not text or (text in main and len(text.split()) < 4 and text not in main.split("\n\n")):
+        return None
+    return text in main
+
+
 def walk(page: str) -> list[tuple[str | None, frozenset[str], str | None]]:
     """(text, features of the open elements, tag name) in page order."""
     stack: list[tuple[str, frozenset[str]]] = []
@@ -138,14 +148,17 @@ def walk(page: str) -> list[tuple[str | None, frozenset[str], str | None]]:
 def extract(page: str, weights: Weights) -> str:
     """The best region's text; where no word scores above 0, that of all words but the title's."""
     tokens = walk(page)
-    known = {f: weights.score(f) for f in {f for t, f, _ in tokens if t}}
+    known = {f: weights.score(f) for f in {f for _, f, _ in tokens}}
     return region(tokens, weights, known) or region([t for t in tokens if "<head" not in t[1] and "<title" not in t[1]], weights, {})
 
 
 def region(tokens: list, weights: Weights, known: dict[frozenset[str], float]) -> str:
     best, here, start, span = 0.0, 0.0, 0, (0, 0)
     for i, (text, features, name) in enumerate(tokens):
-        here += len(text.split()) * known.get(features, BEST) if text else weights.tags.get(name, weights.other)
+        if text:
+            here += len(text.split()) * known.get(features, BEST)
+        else:
+            here += weights.tags.get(name, weights.other) if known.get(features, BEST) > 0 else WORST
         if here <= 0:
             here, start = 0.0, i + 1
         elif here > best:
