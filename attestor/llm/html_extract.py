@@ -44,8 +44,8 @@ BEST, WORST = 1.0, -0.25
 
 
 def element_words(name: str, attributes: str) -> list[str]:
-    """The element's features: its name (inline ones only where they are links), and the words of its class, id and role."""
-    out = [f"<{name}"] if name == "a" or name not in INLINE else []
+    """The element's features: its name (but for inline ones that aren't links, and what a page always has), and the words of its class, id and role."""
+    out = [f"<{name}"] if name == "a" or name not in INLINE and name not in ("html", "body") else []
     if attributes:
         for m in NAMED.finditer(attributes):
             out += [w.lower() for w in PART.findall(m[1] or m[2] or m[3] or "")]

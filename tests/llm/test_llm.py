@@ -168,7 +168,7 @@ def test_html():
     prose_of = " ".join(f"real word{i}" for i in range(30))
     # Layouts beyond the generator's: a control that never ends, and stray words that only the scan leaves out.
     assert html_extract.extract(f"<form><select><option>x<article><p>{prose_of}</p></article>", weights) == prose_of
-    stray = f"<div class=x1><p>Two words</p></div><nav><ul><li><a href=/a>One</a></li><li><a href=/b>Two three four five six seven eight</a></li></ul></nav><article><p>{prose_of}</p><div class=ad><p>Buy it all now</p></div><p>The end of it is here now.</p></article>"
+    stray = f"<div class=content><p>Two words</p></div><nav><ul><li><a href=/a>One</a></li><li><a href=/b>Two three four five six seven eight</a></li></ul></nav><article><p>{prose_of}</p><div class=ad><p>Buy it all now</p></div><p>The end of it is here now.</p></article>"
     assert html_extract.extract(stray, weights) == f"{prose_of}\n\nThe end of it is here now."
     every = [t for t, f, _ in html_extract.walk(stray) if t and weights.score(f) > 0]
     assert "Two words" in every
