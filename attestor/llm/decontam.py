@@ -131,7 +131,8 @@ def _found(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int, carry: tu
     items = benchmark.select("item_id", word_hashes(F.col("text")).alias("h")).select("item_id", "h", F.size("h").alias("size")).filter("size > 0")
     items = scratch(items, "decontam-items")
     long, short = items.filter(F.col("size") >= SPAN), items.filter(F.col("size") < SPAN)
-    marks = marked(long, ["item_id"], None).select("item_id", F.explode("marks").alias("x")).select("item_id", "x.fp", F.col("x.c").alias("ic"))
+    # Not explode: its filter on the size would be pushed below, and build all arrays again inside each other.
+    marks = marked(long, ["item_id"], None).select("item_id", F.explode_outer("marks").alias("x")).select("item_id", "x.fp", F.col("x.c").alias("ic")).filter("fp is not null")
     marks = scratch(marks.groupBy("fp", "ic").agg(F.collect_set("item_id").alias("items")), "decontam-marks")
     lengths = sorted(r["size"] for r in short.select("size").distinct().collect())
     carried = [f"carried_{c}" for c in carry]
@@ -139,7 +140,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int, carry: tu
     read = marked(read, ["doc_id", *carried], slots(marks))
     found_runs = F.array().cast("array<struct<length:int,fp:bigint,place:int>>")
     if lengths:
-        own = short.select("item_id", "size", F.explode(short_runs(lengths, None)).alias("x")).filter("x.length = size")
+        own = short.select("item_id", "size", F.explode_outer(short_runs(lengths, None)).alias("x")).filter("x.length = size")
         runs = scratch(own.groupBy("x.length", "x.fp").agg(F.collect_set("item_id").alias("items")), "decontam-runs")
         found_runs = short_runs(lengths, slots(runs))
     read = read.select(F.monotonically_increasing_id().alias("row"), "doc_id", *carried, F.size("h").cast("long").alias("n_words"), "marks", found_runs.alias("runs"))
