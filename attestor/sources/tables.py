@@ -29,6 +29,11 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def written(df: DataFrame, name: str, into: list[str] | None = None, **options: str) -> DataFrame:
     """df as a table: what follows may read it several times, and a lost executor costs a reread, never a recomputation.
 
