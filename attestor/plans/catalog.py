@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from attestor.operators.experiments import CALIBRATION, EVALUATION, NEGATIVE
 from attestor.plans.dialect import Duck, Spark, folded, normal, quoted, stem, tokens
 
 PLANS: dict[str, tuple[Callable[[Spark], str], tuple[str, ...]]] = {}
@@ -112,10 +113,10 @@ CASES = "cases AS (SELECT b.item_id AS claim_id, b.text AS claim, d.doc_id, cast
 
 @plan("documents", "benchmark", "spans", "ranked")
 def sim_soft(d):
-    """0.48 token cosine, 0.18 token Jaccard, 0.20 cosine of 4-grams, 0.14 share of the claim's words, for each claim and the sentences of its documents."""
+    """0.48 token cosine, 0.18 token Jaccard, 0.20 cosine of 4-grams, 0.14 share of the claim's words, for each claim and the spans of its documents."""
     grams = lambda s: d.grams(normal(d, s), 4)
     union = f"({d.size(d.distinct('lt'))} + {d.size(d.distinct('rt'))} - {d.size(d.common('lt', 'rt'))})"
-    return with_spans(d, f"""{ranked(d)}, pairs AS (SELECT c.claim_id, s.span_id, {tokens(d, 'c.claim')} AS lt, {tokens(d, 's.text')} AS rt, {grams('c.claim')} AS lg, {grams('s.text')} AS rg FROM cases c JOIN spans s ON s.document_id = c.document_id WHERE s.kind = 'sentence')
+    return with_spans(d, f"""{ranked(d)}, pairs AS (SELECT c.claim_id, s.span_id, {tokens(d, 'c.claim')} AS lt, {tokens(d, 's.text')} AS rt, {grams('c.claim')} AS lg, {grams('s.text')} AS rg FROM cases c JOIN spans s ON s.document_id = c.document_id)
 SELECT claim_id, span_id, round(0.48e0 * {cosine(d, 'lt', 'rt')} + 0.18e0 * coalesce(cast({d.size(d.common('lt', 'rt'))} as double) / nullif({union}, 0), 0e0) + 0.20e0 * {cosine(d, 'lg', 'rg')} + 0.14e0 * {exact(d, 'lt', 'rt')}, 6) AS similarity,
 round({exact(d, 'lt', 'rt')}, 6) AS exact_phrase FROM pairs""")
 
@@ -174,21 +175,6 @@ f AS (SELECT k, {d.extract('text', r'\$([0-9][0-9,]*(?:\.[0-9]+)?)', 1)} AS mone
 SELECT k, cast(replace(money[{0 if d.name == 'spark' else 1}], ',', '') as double) AS usd, cast(datediff({'' if d.name == 'spark' else "'day', DATE '0001-01-01', "}cast(day[{0 if d.name == 'spark' else 1}] as date){", DATE '0001-01-01'" if d.name == 'spark' else ''}) + 1 as double) AS ordinal, day[{0 if d.name == 'spark' else 1}] AS normalized FROM f"""
 
 
-CLAIMED = "(CASE l_linenumber % 5 WHEN 0 THEN 'at least' WHEN 1 THEN 'at most' WHEN 2 THEN 'over' WHEN 3 THEN 'under' ELSE 'exactly' END)"
-
-
-def operator(d: Spark, text: str) -> str:
-    families = (("gte", "at least|no less than|minimum of"), ("lte", "at most|no more than|maximum of"), ("gt", "more than|over|above|greater than"), ("lt", "less than|under|below|fewer than"))
-    return "CASE " + " ".join(f"WHEN {d.matches(text, chr(92) + 'b(?:' + p + ')' + chr(92) + 'b')} THEN '{name}'" for name, p in families) + " ELSE 'eq' END"
-
-
-@plan("lineitem")
-def qnt_operator(d):
-    return f"""WITH said AS (SELECT l_orderkey, l_linenumber, concat('Line has ', {CLAIMED}, ' ', cast(cast(l_quantity as int) as varchar(10)), ' seats and discount is ', cast(cast(round(l_discount * 100) as int) as varchar(10)), '%') AS text FROM lineitem),
-f AS (SELECT *, {operator(d, "substring(text, 1, 32)")} AS op, {d.extract('text', '([0-9]+) seats', 1)} AS q, {d.extract('text', '([0-9]+)%', 1)} AS p FROM said)
-SELECT l_orderkey, l_linenumber, op, cast(q[{0 if d.name == 'spark' else 1}] as double) AS seats, cast(p[{0 if d.name == 'spark' else 1}] as double) AS percent FROM f"""
-
-
 @plan("lineitem", "orders")
 def qnt_score(d):
     """Required quantities of a claim against those observed in its order's lines: an equality join on the order, a comparison by operator, then one row a claim."""
@@ -199,51 +185,25 @@ SELECT claim, op, count(CASE WHEN found THEN 1 END) AS n_seen, CASE WHEN max(CAS
 max(CASE WHEN found THEN 0 ELSE 1 END) = 1 AS missing FROM met GROUP BY claim, op""".replace("THEN 1.0", "THEN cast(1 as double)").replace("ELSE 0.0", "ELSE cast(0 as double)")
 
 
-# ---- polarity and cues
-
-REACH = {"avoid": 2, "no": 4, "without": 5, "instead": 8, "rather": 8, "reject": 8, "not": 10, "never": 10, "lack": 10, "idiot": 10}
-
-
-@plan("conversations")
-def pol_negated_tokens(d):
-    """A token is negated by a cue before it within the cue's reach and with no sentence end between: segments at ends, then one running maximum."""
-    parts = d.split(d.replace("lower(text)", r"[.;]", " endmark "), "[^a-z0-9]+")
-    reach = "CASE x " + " ".join(f"WHEN '{w}' THEN {n}" for w, n in REACH.items()) + " END"
-    w = "PARTITION BY conv_id, turn, seg ORDER BY pos ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING"
-    return f"""WITH t AS (SELECT conv_id, turn, {d.only(parts, lambda x: f"length({x}) > 0")} AS ts FROM conversations),
-e AS (SELECT conv_id, turn, pos, x FROM {d.exploded('t', 'ts')} q),
-g AS (SELECT *, sum(CASE WHEN x = 'endmark' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn ORDER BY pos ROWS UNBOUNDED PRECEDING) AS seg FROM e),
-n AS (SELECT *, coalesce(max(pos + {reach}) OVER ({w}) >= pos, false) AS negated FROM g)
-SELECT conv_id, turn, count(*) AS n_tokens, count(CASE WHEN negated THEN 1 END) AS n_negated, cast(max(seg) as bigint) AS n_ends FROM n GROUP BY conv_id, turn"""
-
-
-@plan("conversations")
-def cue_flags(d):
-    pairs = (("doesn''t", "does not"), ("don''t", "do not"), ("didn''t", "did not"), ("can''t", "can not"), ("cannot", "can not"), ("won''t", "will not"), ("isn''t", "is not"), ("aren''t", "are not"))
-    s = "lower(text)"
-    for a, b in pairs:
-        s = f"replace({s}, '{a}', '{b}')"
-    only = f"{d.matches('s', chr(92) + 'bonly' + chr(92) + 'b.{0,60}' + chr(92) + 'bnot' + chr(92) + 'b')} AND NOT {d.matches('s', 'not only')}"
-    deny = d.matches("s", r"\b(?:unsupported|unavailable|removed|missing|lack of|lacks?|without|no|not (?:allowed|permitted|supported|advertised|described|about)|(?:did|do|does) not|(?:had|have|has) no)\b")
-    refuse = d.matches("s", r"(?:do|does|did) not prove|(?:do|does) not (?:establish|own|provide|guarantee|include)|does not show|(?:not enough|insufficient|not sufficient) context|can ?not infer")
-    return f"""WITH c AS (SELECT conv_id, turn, role, trim({d.replace(s, chr(92) + 's+', ' ')}) AS s FROM conversations)
-SELECT conv_id, turn, role, {only} AS only_not, {deny} AS denies, {refuse} AS refuses FROM c"""
-
-
 # ---- ranking and labels
 
 def scored(d: Spark) -> str:
-    """Claims against all spans that share a token with them, by the share of the claim's tokens: the first 30 as `top`."""
+    """Claims against all spans that share a token with them, by the share of the claim's tokens: the first 30 as `top`. Spark has them from one pass over the spans."""
     return f"""ct AS (SELECT item_id AS claim_id, {d.distinct(tokens(d, 'text'))} AS ts FROM benchmark), cn AS (SELECT claim_id, {d.size('ts')} AS n FROM ct), ce AS (SELECT claim_id, x FROM {d.exploded('ct', 'ts')} q),
 st AS (SELECT span_id, document_id, ordinal, parent_id, {d.distinct(tokens(d, 'text'))} AS ts FROM spans), se AS (SELECT span_id, document_id, ordinal, parent_id, x FROM {d.exploded('st', 'ts')} q),
 met AS (SELECT ce.claim_id, se.span_id, se.document_id, se.ordinal, se.parent_id, count(*) AS k FROM se JOIN ce ON se.x = ce.x GROUP BY ce.claim_id, se.span_id, se.document_id, se.ordinal, se.parent_id),
 scored AS (SELECT met.*, round(cast(k as double) / n, 4) AS score FROM met JOIN cn ON cn.claim_id = met.claim_id),
-labelled AS (SELECT *, CASE WHEN score >= 0.55 THEN 'supports' WHEN score >= 0.55 * 0.82 THEN 'near_miss' ELSE 'reject' END AS label FROM scored),
+labelled AS (SELECT *, {BY_SHARE} AS label FROM scored),
 prior AS (SELECT *, max(CASE WHEN label = 'supports' THEN 1 ELSE 0 END) OVER (PARTITION BY claim_id) AS has_support, CASE WHEN parent_id IS NULL THEN 1 ELSE 2 END AS fine FROM labelled),
-ranks AS (SELECT claim_id, span_id, document_id, parent_id, label, score, row_number() OVER (PARTITION BY claim_id ORDER BY CASE WHEN has_support = 1 THEN CASE WHEN label = 'supports' THEN 1 ELSE 0 END WHEN label = 'near_miss' THEN 1 ELSE 0 END DESC, score DESC, fine DESC, document_id, ordinal) AS rank FROM prior),
+ranks AS (SELECT claim_id, span_id, document_id, ordinal, parent_id, label, score, row_number() OVER (PARTITION BY claim_id ORDER BY CASE WHEN has_support = 1 THEN CASE WHEN label = 'supports' THEN 1 ELSE 0 END WHEN label = 'near_miss' THEN 1 ELSE 0 END DESC, score DESC, fine DESC, document_id, ordinal) AS rank FROM prior),
 top AS (SELECT * FROM ranks WHERE rank <= 30)"""
 
 
+BY_SHARE = "CASE WHEN score >= 0.55 THEN 'supports' WHEN score >= 0.55 * 0.82 THEN 'near_miss' ELSE 'reject' END"
+#: `top` from `met`, the first 30 spans of each claim: where labels follow the score, their order is the score's.
+TOP = f"scored AS (SELECT *, round(cast(k as double) / n, 4) AS score FROM met), top AS (SELECT claim_id, span_id, document_id, ordinal, parent_id, {BY_SHARE} AS label, score, rank FROM scored)"
+
+
 GOLD = "gold AS (SELECT DISTINCT c.claim_id, s.span_id FROM cases c JOIN spans s ON s.document_id = c.document_id WHERE instr(s.text, c.claim) > 0)"
 
 
@@ -298,6 +258,39 @@ report AS (SELECT step, t, count(*) AS n, count(CASE WHEN claims_support = has_g
 SELECT t AS threshold, n, n_correct, n_false, row_number() OVER (ORDER BY n_correct DESC, step) = 1 AS best FROM report""")
 
 
+def measured(d: Spark, text: str) -> str:
+    """The keyword ranker under the measures: gold support are spans that hold the claim; the spans after them are near misses, and forbidden."""
+    kinded = """kinded AS (SELECT claim_id, span_id, 'support' AS gold FROM gold UNION ALL
+SELECT DISTINCT g.claim_id, s.next_id, k.gold FROM gold g JOIN spans s ON s.span_id = g.span_id LEFT JOIN gold h ON h.claim_id = g.claim_id AND h.span_id = s.next_id
+  CROSS JOIN (SELECT 'near_miss' AS gold UNION ALL SELECT 'forbidden') k WHERE h.span_id IS NULL AND s.next_id IS NOT NULL)"""
+    grid = "SELECT explode(sequence(1, 19)) AS step" if d.name == "spark" else "SELECT unnest(range(1, 20)) AS step"
+    return with_spans(d, f"{ranked(d)}, {kinded}, asked AS (SELECT item_id AS claim_id FROM benchmark), cand AS (SELECT * FROM top), steps AS ({grid}), {text.replace('FROM gold)', 'FROM kinded)')}")
+
+
+@plan("documents", "benchmark", "spans", "ranked")
+def agg_measures(d):
+    return measured(d, EVALUATION)
+
+
+@plan("documents", "benchmark", "spans", "ranked")
+def agg_negative_rates(d):
+    return measured(d, NEGATIVE)
+
+
+@plan("documents", "benchmark", "spans", "ranked")
+def agg_replay(d):
+    """All measures at each threshold, without scoring again, and the best by seven keys."""
+    return measured(d, CALIBRATION)
+
+
+@plan("documents", "benchmark", "spans", "ranked")
+def exp_relabelled(d):
+    """Labels and matches by a calibrated threshold, in the candidates' order."""
+    return with_spans(d, f"""{ranked(d)}, r AS (SELECT claim_id, span_id, parent_id, rank, CASE WHEN label = 'contradicts' THEN label WHEN score >= 0.7 THEN 'supports' WHEN score >= 0.7 * 0.82 THEN 'near_miss' ELSE 'reject' END AS label FROM top),
+f AS (SELECT claim_id, span_id, row_number() OVER (PARTITION BY claim_id, coalesce(parent_id, span_id) ORDER BY rank) AS f FROM r WHERE label = 'supports')
+SELECT r.claim_id, r.span_id, r.label, coalesce(f.f = 1, false) AS first_of_family FROM r LEFT JOIN f ON f.claim_id = r.claim_id AND f.span_id = r.span_id""")
+
+
 @plan("documents", "benchmark", "spans", "ranked")
 def mdl_bm25(d):
     """BM25 over the spans of each case's document, scaled by the case's greatest score."""
@@ -352,25 +345,6 @@ def features() -> str:
         "event_id % 7 = 0 AS unwanted", "event_id % 11 < 2 AS quantified", "event_id % 13 < 2 AS quantity_off", "event_id % 17 = 3 AS only_not", "event_id % 19 < 2 AS unclear", "event_id % 23 < 3 AS counter", "event_id % 29 < 4 AS denies", "event_id % 31 < 20 AS span_denies", "event_id % 6 AS anchors"]) + " FROM events)"
 
 
-LADDER = """CASE WHEN unwanted THEN 'reject' WHEN flip THEN 'contradicts' WHEN only_not AND coverage > 0 AND direct >= 0.55 THEN 'near_miss'
- WHEN unclear AND (coverage > 0 OR relation > 0 OR direct >= 0.40) THEN CASE WHEN score >= 0.55 * 0.82 OR direct >= 0.55 OR relation >= 1 THEN 'insufficient_context' ELSE 'reject' END
- WHEN (counter AND (coverage > 0 OR direct >= 0.45 OR context >= 0.45)) OR (anchors >= 2 AND mismatch >= 0.35 AND contradiction >= 0.30) OR (anchors >= 4 AND mismatch >= 0.25 AND direct >= 0.65 AND span_negated > intent_negated) THEN 'contradicts'
- WHEN denies AND NOT span_denies AND intent_negated > 0 THEN CASE WHEN coverage > 0 AND direct >= 0.45 THEN 'contradicts' ELSE 'reject' END
- WHEN quantified AND facet > 0 AND coverage < 0.5 THEN 'reject'
- WHEN quantified AND relation < 1 THEN CASE WHEN score >= 0.55 * 0.82 THEN 'insufficient_context' ELSE 'reject' END
- WHEN score >= 0.55 THEN 'supports' WHEN score >= 0.55 * 0.82 THEN 'near_miss' ELSE 'reject' END"""
-FLOORS = """CASE label WHEN 'supports' THEN score WHEN 'reject' THEN CASE WHEN unwanted THEN least(score, 0.05e0) ELSE score END
- WHEN 'insufficient_context' THEN greatest(score, least(0.74e0, 0.28e0 + CASE WHEN unclear THEN 0.14e0 ELSE 0e0 END + 0.06e0 * relation + 0.10e0 * coverage + 0.05e0 * direct))
- WHEN 'near_miss' THEN greatest(score, least(0.68e0, 0.34e0 + CASE WHEN only_not THEN 0.20e0 ELSE 0e0 END + 0.15e0 * direct))
- ELSE greatest(score, least(0.68e0, 0.30e0 + CASE WHEN counter THEN 0.22e0 ELSE 0e0 END + 0.12e0 * contradiction + 0.10e0 * coverage + 0.06e0 * direct)) END"""
-
-
-@plan("events")
-def lbl_ladder(d):
-    return f"""WITH {features()}, q AS (SELECT *, quantified AND quantity_off AND coverage > 0 AS flip FROM f), l AS (SELECT *, {LADDER} AS label FROM q)
-SELECT event_id, label, round({FLOORS}, 6) AS candidate_score FROM l"""
-
-
 @plan("events")
 def lbl_threshold(d):
     return f"""WITH {features()} SELECT event_id, CASE WHEN counter THEN 'contradicts' WHEN score >= 0.6 THEN 'supports' WHEN score >= 0.6 * 0.82 THEN 'near_miss' ELSE 'reject' END AS label,
@@ -389,15 +363,6 @@ asked AS (SELECT {key} AS id, count(*) AS times FROM events WHERE event_id % 3 =
 SELECT a.id, a.times, k.value AS score, k.id IS NOT NULL AS hit FROM asked a LEFT JOIN kept k ON k.id = a.id"""
 
 
-@plan("conversations")
-def jdg_agreement(d):
-    """Three judges a conversation vote by a rule on the text; the majority, first seen among equals, and how far they agree."""
-    return """WITH v AS (SELECT conv_id AS request_id, turn AS pass_id, CASE (length(text) + turn * 7) % 3 WHEN 0 THEN 'supports' WHEN 1 THEN 'near_miss' ELSE 'contradicts' END AS label, cast(length(text) % 100 as double) / 100 AS confidence FROM conversations),
-t AS (SELECT request_id, label, count(*) AS n, min(pass_id) AS first_pass FROM v GROUP BY request_id, label),
-m AS (SELECT request_id, label, n, row_number() OVER (PARTITION BY request_id ORDER BY n DESC, first_pass) AS k, count(*) OVER (PARTITION BY request_id) AS kinds FROM t),
-p AS (SELECT request_id, count(DISTINCT pass_id) AS n_passes, round(avg(confidence), 6) AS confidence FROM v GROUP BY request_id)
-SELECT p.request_id, p.n_passes, p.confidence, m.label AS majority, m.n AS n_majority, m.kinds = 1 AS unanimous FROM p JOIN m ON m.request_id = p.request_id AND m.k = 1 WHERE p.n_passes >= 2"""
-
 
 @plan("documents", "labels")
 def agg_suite_audit(d):
@@ -435,12 +400,6 @@ SELECT count(*) AS n_items, count(CASE WHEN kind = 'sentence' THEN 1 END) AS n_s
 max(sums.n_documents) AS n_documents, round(cast(max(sums.most) as double) / count(*), 6) AS largest_share FROM queued CROSS JOIN sums""")
 
 
-@plan("documents")
-def cur_split(d):
-    """Documents in hash order, cut at 70 and 85 percent, at least one each."""
-    return f"""WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY {d.sha("concat('13:', doc_id)")}, doc_id) AS k, count(*) OVER () AS n FROM documents)
-SELECT doc_id, CASE WHEN k <= greatest(1, floor(n * 0.7)) THEN 'train' WHEN k <= greatest(2, floor(n * 0.7) + floor(n * 0.15)) THEN 'dev' ELSE 'test' END AS split FROM o"""
-
 
 @plan("documents", "benchmark", "spans", "ranked")
 def trn_pairs(d):

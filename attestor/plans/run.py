@@ -2,32 +2,104 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.operators import parsing
-from attestor.plans.catalog import CASES, GOLD, PLANS, scored
+from attestor.operators import experiments, keyword, parsing
+from attestor.plans.catalog import GOLD, PLANS, TOP
 from attestor.plans.dialect import Spark
-from attestor.sources.tables import written
+from attestor.sources.tables import exists, written
+
+#: Stages that several queries read, by session, folder, stage, and the state of the files behind it: (path, table).
+_STAGES: dict[tuple, tuple[str, DataFrame]] = {}
+
+
+def _state(spark: SparkSession, paths: list[str]) -> tuple:
+    """Names, sizes and times of the files."""
+    hadoop, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    out = []
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(hadoop)
+        out += sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(p))
+    return tuple(out)
+
+
+def stage(spark: SparkSession, sf_dir: str, name: str, tables: list[str], make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that is written once a session, as long as the tables it comes from don't change."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, _state(spark, [f"{sf_dir}/{t}.parquet" for t in tables]))
+    if key not in _STAGES or not exists(spark, _STAGES[key][0]):
+        paths: list[str] = []
+        df = written(make(), name, paths)
+        _STAGES[key] = (paths[0], df)
+    return _STAGES[key][1]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(views: dict[str, DataFrame], text: str) -> DataFrame:
+    """SQL over the views, under names that no other query and no user has."""
+    return experiments.sql(views, text)
 
 
 def document_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return parsing.parse(docs.select(F.col("doc_id").cast("string").alias("document_id"), "text"))
+    docs = table(spark, sf_dir, "documents")
+    make = lambda: parsing.parse(docs.select(F.col("doc_id").cast("string").alias("document_id"), "text"))
+    return stage(spark, sf_dir, "spans", ["documents"], make)
+
+
+def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """claim_id, claim, doc_id, document_id: the documents that hold a claim's text."""
+    docs, claims = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return stage(spark, sf_dir, "cases", ["documents", "benchmark"], lambda: holding(docs, claims))
+
+
+def holding(docs: DataFrame, claims: DataFrame) -> DataFrame:
+    """Documents and claims meet on a run of four words inside the claim, which a text that holds the claim must have whole; then the texts are compared. Claims of fewer words are compared with all texts."""
+    words = lambda c: F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0))
+    run = lambda w, i: F.xxhash64(*[F.get(w, i + k) for k in range(4)])
+    asked = claims.filter("text is not null").select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim"), words("text").alias("w"))
+    keys = asked.filter(F.size("w") >= 6).select("claim_id", run(F.col("w"), F.lit(1)).alias("key"))
+    own = docs.filter("text is not null").select("doc_id", words("text").alias("w"))
+    runs = F.transform(F.when(F.size("w") >= 4, F.sequence(F.lit(0), F.size("w") - 4)), lambda i: run(F.col("w"), i))
+    met = own.select("doc_id", F.explode(runs).alias("key")).join(keys, "key").select("claim_id", "doc_id").distinct()
+    texts = docs.select("doc_id", "text")
+    found = met.join(asked.select("claim_id", "claim"), "claim_id").join(texts, "doc_id").filter(F.expr("instr(text, claim) > 0"))
+    out = found.select("claim_id", "claim", "doc_id")
+    short = asked.filter(F.size("w") < 6).select("claim_id", "claim")
+    if not short.isEmpty():
+        out = out.unionByName(texts.join(short, F.expr("instr(text, claim) > 0")).select("claim_id", "claim", "doc_id"))
+    return out.withColumn("document_id", F.col("doc_id").cast("string"))
+
+
+def top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each claim's first 30 spans by keywords, with labels."""
+
+    def make() -> DataFrame:
+        claims = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim"))
+        return query({"met": keyword.first_spans(document_spans(spark, sf_dir), claims)}, f"WITH {TOP} SELECT * FROM top")
+
+    return stage(spark, sf_dir, "top", ["documents", "benchmark"], make)
+
+
+def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    make = lambda: query({"cases": cases(spark, sf_dir), "spans": document_spans(spark, sf_dir)}, f"WITH {GOLD} SELECT * FROM gold")
+    return stage(spark, sf_dir, "gold", ["documents", "benchmark"], make)
+
+
+VIEWS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"spans": document_spans, "cases": cases, "top": top, "gold": gold}
 
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     make, tables = PLANS[name]
-    for table in tables:
-        if table == "ranked":
-            for view, text in (("cases", CASES), ("top", scored(Spark())), ("gold", GOLD)):
-                written(spark.sql(f"WITH {text} SELECT * FROM {view}"), view).createOrReplaceTempView(view)
-            continue
-        df = written(document_spans(spark, sf_dir), "spans") if table == "spans" else spark.read.parquet(f"{sf_dir}/{table}.parquet")
-        df.createOrReplaceTempView(table)
-    return spark.sql(make(Spark()))
+    wanted = [v for t in tables for v in (("cases", "top", "gold") if t == "ranked" else (t,))]
+    views = {v: VIEWS[v](spark, sf_dir) if v in VIEWS else table(spark, sf_dir, v) for v in wanted}
+    return query(views, make(Spark()))
 
 
 QUERIES = {name: partial(run, name) for name in PLANS}
