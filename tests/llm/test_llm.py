@@ -217,10 +217,16 @@ def test_lm(spark):
         assert abs(r.base_score - base) < 1e-6 * max(1, abs(base)) and r.score < 0
     model = lm_score.Model(np.minimum(np.arange(32000), lm_score.RANKS - 1).astype(np.int32))
     model.set_bigrams(np.ones((lm_score.RANKS, lm_score.RANKS)), np.ones(32000))
-    ids = np.arange(3, 90, dtype=np.int32)
-    whole, ends = model.token_logs(ids, np.array([40, 47]))
-    (a, x), (b, y) = model.token_logs(ids[:40], np.array([40])), model.token_logs(ids[40:], np.array([47]))
-    assert np.allclose(whole, [*a, *b], rtol=1e-3) and np.allclose(ends, [*x, *y], rtol=1e-3)
+    known = lm_score.Subwords(PIECES)
+    texts = [prose(1, 40), "", prose(2, 47)]
+    own, _, ends = model.unit_logs(known, *known.split(texts))
+    alone = [model.unit_logs(known, *known.split([t])) for t in texts]
+    assert np.allclose(own, np.concatenate([x for x, _, _ in alone]), rtol=1e-3) and np.allclose(ends, np.concatenate([x for _, _, x in alone]), rtol=1e-3)
+    # The chances of all ids and of the end at a place sum to one.
+    x = model.rank[np.full((3, lm_score.BLOCK), lm_score.END)]
+    z, _ = model.forward(x)
+    assert np.allclose(z[0], z[1], atol=1e-4)
+    assert np.allclose(lm_score.mixed(np.log([0.5, 0.5]), np.array([0.25, 0.0]), 0.5, 0.1), np.log([0.375, 0.5 * 0.55]))
 
 
 def test_lm_counts_all_training_texts(spark, monkeypatch):
@@ -235,9 +241,16 @@ def test_lm_counts_all_training_texts(spark, monkeypatch):
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     n, two = np.zeros(len(rank)), np.zeros((lm_score.RANKS, lm_score.RANKS))
     for r in docs.filter(F.crc32(F.col("doc_id").cast("string")) % 10 != 0).collect():
-        ids = [lm_score.END, *sp.encode(r.text or ""), lm_score.END]
-        np.add.at(n, ids[1:], 1)
-        np.add.at(two, (rank[ids[:-1]], rank[ids[1:]]), 1)
+        ids = [*sp.encode(r.text or ""), lm_score.END]
+        np.add.at(n, ids, 1)
+        whole = "".join(lm_score.UNIT.findall((lm_score.MARK + r.text).replace(" ", lm_score.MARK))) if r.text else ""
+        starts, at = set(), 0
+        for u in lm_score.UNIT.findall(whole):
+            starts.add(at)
+            at += len(sp.encode("\n" + u)) - len(sp.encode("\n"))
+        assert at == len(ids) - 1
+        before = [lm_score.END if i in starts or i == at else ids[i - 1] for i in range(len(ids))]
+        np.add.at(two, (rank[before], rank[ids]), 1)
     assert (singles == n).all() and (pairs == two).all()
 
 
