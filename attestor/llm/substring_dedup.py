@@ -108,7 +108,9 @@ def _spans(text: str, gone: set[int], least: int, least_run: int) -> list[tuple[
 
 def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, least_run: int = LEAST_RUN) -> DataFrame:
     """doc_id, n_units, n_removed, n_removed_chars, removed (start and end offsets in the original text), text (what stays) for each row of docs (doc_id, text)."""
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), document_key().alias("row"))
+    # Rows are told apart by this and doc_id together.
+    row = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit("")))
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), row.alias("row"))
     marks = map_texts(keyed, ["doc_id", "row"], "text", lambda t: _hashed(t, least_words), "units array<struct<digest:binary,place:int,size:int>>")
     marks = stash(marks, "substring-marks")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "place")
@@ -116,9 +118,9 @@ def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, least_run: i
     first = marks.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
     later = marks.join(first, "digest").filter(rank != F.col("first"))
     end = F.col("place") + F.col("size") - 1
-    start = F.when(F.col("first.row") == F.col("row"), F.greatest("place", F.col("first.place") + F.col("size"))).otherwise(F.col("place"))
-    later = later.select("row", F.explode(F.when(start <= end, F.sequence(start, end))).alias("place"))
-    gone = later.groupBy("row").agg(F.collect_set("place").alias("gone"))
+    start = F.when((F.col("first.row") == F.col("row")) & F.col("first.doc_id").eqNullSafe(F.col("doc_id")), F.greatest("place", F.col("first.place") + F.col("size"))).otherwise(F.col("place"))
+    later = later.select("row", "doc_id", F.explode(F.when(start <= end, F.sequence(start, end))).alias("place"))
+    gone = later.groupBy("row", F.col("doc_id").alias("id")).agg(F.collect_set("place").alias("gone")).withColumnRenamed("row", "key")
 
     def cut(batches):
         from .common import native_rows
@@ -145,5 +147,5 @@ def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, least_run: i
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    joined = keyed.join(gone, "row", "left").select("doc_id", "text", "gone")
+    joined = keyed.join(gone, (F.col("row") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")), "left").select("doc_id", "text", "gone")
     return joined.mapInArrow(cut, f"doc_id {kind}, n_units long, n_removed long, n_removed_chars long, removed array<struct<start:int,end:int>>, text string")
