@@ -222,7 +222,13 @@ def test_lm(spark):
     own, _, ends = model.unit_logs(known, *known.split(texts))
     alone = [model.unit_logs(known, *known.split([t])) for t in texts]
     assert np.allclose(own, np.concatenate([x for x, _, _ in alone]), rtol=1e-3) and np.allclose(ends, np.concatenate([x for _, _, x in alone]), rtol=1e-3)
-    # The chances of all ids and of the end at a place sum to one.
+    # Trimmed caches give the same.
+    known.shares = {lm_score.MARK + "w1": 0.5, lm_score.MARK + "w3": 0.1}
+    known.clear()
+    before = [x.tolist() for x in known.ids(*known.split(texts))]
+    known.trim()
+    assert len(known.at) == 2 and [x.tolist() for x in known.ids(*known.split(texts))] == before
+    # Padding rows have equal logits, wherever they stand.
     x = model.rank[np.full((3, lm_score.BLOCK), lm_score.END)]
     z, _ = model.forward(x)
     assert np.allclose(z[0], z[1], atol=1e-4)
