@@ -353,15 +353,15 @@ def cur_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curation.split_documents(docs, bucket_rows=1000).select("doc_id", "split")
 
 
-@query("""WITH v AS (SELECT conv_id AS request_id, turn AS pass_id, CASE role WHEN 'user' THEN 'supports' ELSE CASE WHEN length(text) % 2 = 0 THEN 'near_miss' ELSE 'contradicts' END END AS label, (length(text) % 100)::DOUBLE / 100 AS confidence FROM conversations),
+@query("""WITH v AS (SELECT conv_id AS request_id, turn AS pass_id, CASE role WHEN 'user' THEN 'supports' ELSE CASE WHEN length(text) % 2 = 0 THEN 'near_miss' ELSE 'contradicts' END END AS label, (length(text) % 64)::DOUBLE / 64 AS confidence FROM conversations),
 t AS (SELECT request_id, label, count(*) AS n, min(pass_id) AS first FROM v GROUP BY ALL), m AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY n DESC, first) AS k, count(*) OVER (PARTITION BY request_id) AS kinds FROM t),
 w AS (SELECT request_id, count(*) AS n_decisions, count(DISTINCT pass_id) AS n_passes, avg(confidence) AS confidence FROM v GROUP BY request_id)
-SELECT w.request_id, n_decisions, n_passes, round(confidence, 3) AS confidence, m.label AS majority, kinds = 1 AS unanimous, n_passes >= 2 AS enough FROM w JOIN m ON m.request_id = w.request_id AND k = 1""")
+SELECT w.request_id, n_decisions, n_passes, round(confidence, 4) AS confidence, m.label AS majority, kinds = 1 AS unanimous, n_passes >= 2 AS enough FROM w JOIN m ON m.request_id = w.request_id AND k = 1""")
 def jdg_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as the passes of a judge: the majority, the first of equals, and how far they agree."""
     label = F.when(F.col("role") == "user", "supports").when(F.length("text") % 2 == 0, "near_miss").otherwise("contradicts")
-    given = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("request_id"), F.col("turn").alias("pass_id"), label.alias("label"), ((F.length("text") % 100) / 100).alias("confidence"))
-    return curation.agreement(given).withColumn("confidence", F.round("confidence", 3))
+    given = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("request_id"), F.col("turn").alias("pass_id"), label.alias("label"), ((F.length("text") % 64) / 64).alias("confidence"))
+    return curation.agreement(given)
 
 
 @query()
