@@ -7,7 +7,8 @@ sums are distributed: the keys are uniform, so their leading bits range-partitio
 task ever holds a whole source, so a source with a third of all rows is as cheap a row as any other.
 
 Defined results: a null text has size 0; null sources form one source, last in order; rows that repeat are separate
-documents; an empty table gives an empty result; other columns are ignored.
+documents; null ids share one key, and ties of keys go by id, then size; very long texts count like any other; an empty
+table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -5,9 +5,10 @@ text; each chunk keeps every filter's maximum; the maxima's maximum and mean ove
 unit. It is trained on the driver from a bounded sample of labelled rows (`train_rows`, `train_bytes`), by Adam on the
 log loss, with gradients through the winning windows only. Scoring is map-only.
 
-Defined results: a null or empty text is scored like any text (one window of padding); equal texts get equal scores;
-with one class or none among the labels every score is that class's share (1 where there are no labels); an empty
-table gives an empty result.
+Defined results: a null or empty text is scored like any text (one window of padding); equal texts get equal scores, so
+ties and repeated rows do; null ids are scored and never learned from; of labels that repeat an id the greatest counts;
+very long texts are pooled piece by piece; other columns are ignored, whatever their names; with one class or none among
+the labels every score is that class's share (1 where there are no labels); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -64,13 +65,25 @@ class Model:
         mean = np.add.reduceat(chunk, first, axis=0) / np.diff(np.r_[first, len(owner)])[:, None]
         return np.hstack([top, mean]), h, chunk, raw, spans, owner, first
 
+    def long_features(self, text: bytes) -> np.ndarray:
+        """What pooled() makes of one text, from pieces of whole chunks: memory doesn't grow with the text."""
+        top, total, chunks = np.zeros(FILTERS, np.float32), np.zeros(FILTERS), 0
+        for at in range(0, max(len(text), 1), BLOCK):
+            rows = max(1, -(-len(text[at : at + BLOCK]) // STRIDE))
+            raw = np.frombuffer(text[at : at + rows * STRIDE + KERNEL].ljust(rows * STRIDE + KERNEL, b"\0"), np.uint8)
+            h = self.windows(raw, rows) @ self.p["w"]
+            chunk = np.maximum(np.maximum.reduceat(h, np.arange(0, rows, CHUNK // STRIDE), axis=0) + self.p["b"], 0)
+            top, total, chunks = np.maximum(top, chunk.max(0)), total + chunk.sum(0), chunks + len(chunk)
+        return np.concatenate([top, total / chunks])
+
     def score(self, texts: list[bytes]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
         out, start, held = [], 0, 0
         for i, t in enumerate([*texts, None]):
             if i > start and (t is None or held + len(t) > BLOCK):
-                z = self.pooled(texts[start:i])[0] @ self.p["v"] + self.p["c"]
+                f = self.long_features(texts[start]) if held > BLOCK else self.pooled(texts[start:i])[0]
+                z = np.atleast_2d(f) @ self.p["v"] + self.p["c"]
                 out.append(1 / (1 + np.exp(-z.astype(float))))
                 start, held = i, 0
             held += len(t or b"")
@@ -118,13 +131,13 @@ class Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int, most_bytes: int) -> tuple[list[bytes], np.ndarray, float | None]:
-    """Whole texts of at most so many labelled rows by hash order, a third of them of label 0 where there are enough; texts beyond the bytes are left out whole. Last, label 1's share among all labels to learn from."""
+    """Whole texts of at most so many labelled ids by hash order (twice as many rows, where ids repeat), a third of them of label 0 where there are enough; texts beyond the bytes are left out whole. Last, label 1's share among all labels to learn from."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (crc_mod(F.col("doc_id"), 4) != 2))
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).withColumn("h", F.xxhash64("doc_id"))
     bad, good = (known.filter(F.col("quality") == q).orderBy("h", "doc_id").limit(n) for q, n in ((0, rows // 3), (1, rows - rows // 3)))
     picked = F.broadcast(bad.unionByName(good))
     texts, y, held = [], [], 0
-    for r in docs.select("doc_id", "text").join(picked, "doc_id").select("h", "doc_id", "quality", "text").toLocalIterator():
+    for r in docs.select("doc_id", "text").join(picked, "doc_id").select("h", "doc_id", "quality", "text").orderBy("h", "doc_id", F.xxhash64("text")).limit(2 * rows).toLocalIterator():
         raw = (r.text or "").encode()
         if held + len(raw) <= most_bytes:
             held += len(raw)

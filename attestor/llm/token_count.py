@@ -6,8 +6,9 @@ tier is a broadcast table of frequent units' lengths, taken from a bounded rando
 in each worker, which encodes the units that it misses, in blocks. No unit is ever shuffled except those of the
 sample. The sample decides only how many lookups hit the first tier; counts are exact whatever it holds.
 
-Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows are counted each; an empty table gives
-an empty result; columns beside doc_id and text are ignored.
+Defined results: a null or empty text has 0 bytes and 0 tokens; null ids, ties and repeated rows are counted each; very
+long texts are counted whole; an empty table gives an empty result; columns beside doc_id and text are ignored, whatever
+their names.
 """
 
 from __future__ import annotations

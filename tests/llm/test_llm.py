@@ -146,6 +146,15 @@ def test_rules_and_classifier(spark):
     assert np.mean([(r.predicted == 1) == (r.doc_id < 128) for r in held]) > 0.9
 
 
+def test_cnn_pieces():
+    model = quality_cnn.Model()
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 7, 2048, quality_cnn.BLOCK - 3, quality_cnn.BLOCK, 3 * quality_cnn.BLOCK + 1234):
+        text = rng.integers(97, 123, size).astype(np.uint8).tobytes()
+        assert np.allclose(model.pooled([text])[0][0], model.long_features(text), atol=1e-5)
+    assert len(model.score([b"a", text, b"", b"b" * 300_000, text])) == 5
+
+
 def test_cnn_gradients():
     model = quality_cnn.Model()
     texts, y = [b"abcabcabcabc" * 9, b"zzzz", b""], np.array([1, 0, 1], np.float32)
