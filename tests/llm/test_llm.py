@@ -146,6 +146,26 @@ def test_rules_and_classifier(spark):
     assert np.mean([(r.predicted == 1) == (r.doc_id < 128) for r in held]) > 0.9
 
 
+def test_rules_learn_from_all_rows(spark):
+    """More rows than 4,096 grow the forest and more labels than 8,192 set the threshold, whatever the partitions."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(WORDS[k] for k in rng.integers(0, rng.integers(4, 40), rng.integers(52, 60))) + "." * int(rng.integers(0, 9)) for _ in range(9_000)]
+    docs = table(spark, texts)
+    good = rng.random(len(texts)) < 0.6
+    labels = spark.createDataFrame([(i, int(g), 0) for i, g in enumerate(good)], "doc_id long, quality int, toxic int")
+    got, again = by_id(rules.quality_rules(docs, labels)), by_id(rules.quality_rules(docs.repartition(7), labels))
+    x = rules.features(np.array([rules.counts(t.encode()) for t in texts]))
+    forest = rules.Forest(len(x)).grow(lambda f: f.spans([x]))
+    score = np.array([got[i].anomaly for i in range(len(x))])
+    assert np.allclose(score, forest.score(x), rtol=1e-9) and all(got[i] == again[i] for i in got)
+    failed = np.array([got[i].base_failed for i in range(len(x))])
+    cut = rules.threshold(score[~failed], good[~failed], rules.KEEP_COST)
+    assert [got[i].kept for i in range(len(x))] == list(~failed & (score <= cut)) and 0 < np.mean([r.kept for r in got.values()]) < 1
+    # Leaves count every row in every tree.
+    leaves = np.concatenate([np.bincount(forest.place(x, r), minlength=len(forest.feature))[None] for r in range(forest.roots)])
+    assert (leaves.sum(1) == len(x)).all() and not leaves[:, forest.feature >= 0].any()
+
+
 def test_cnn_pieces():
     model = quality_cnn.Model()
     rng = np.random.default_rng(3)
