@@ -5,9 +5,14 @@ and the one before; windows overlap and each token is scored once, in batched ma
 probabilities over the HEAD - 1 most frequent ids and the rest together; within the rest, and mixed into all by one
 weight, go bigram shares that are counted over every training text. A unit (a word with the space before it, or a line
 end) has the product of its ids' probabilities, mixed by a second weight with its share of all units in the training
-texts, where it is among the TABLE_UNITS most frequent; other units have the model's, times what the table leaves. The
-attention weights, the ids' ranks and the mixing weights are fitted on the driver from a bounded sample of training texts
-(`sample_rows`, `sample_ids`), the weights on a tenth of it that is left out of all counts for that.
+texts, where it is among the TABLE_UNITS most frequent; other units have the model's, times what the table leaves.
+
+All training texts are learned from. The ids' ranks come from the counts. The attention weights come from all texts but
+a tenth, each at least once: a hash of id and text cuts them into parts of about PART_BYTES and ROUNDS rounds, and orders
+them; in a round each part goes on from the same weights, and their mean, by ids, is the next round's. Small tables are
+gone over up to EPOCHS times. The mixing weights are those of the greatest likelihood on all texts of the tenth, which is
+left out of all counts for that. `sample_rows` and `sample_ids`, which are not set by any query, bound what the weights are
+fitted from, for trials.
 
 Base scores come from word counts over all training texts. Frequent words' counts (TABLE_WORDS at most) are broadcast;
 the other words of a text meet their counts in one join, so no table that grows is ever held by one process.
@@ -22,14 +27,14 @@ from __future__ import annotations
 import itertools
 import uuid
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, lower_ascii, map_texts, native_rows, stash
+from .common import Scratch, crc_mod, lower_ascii, map_texts, native_rows, stash
 from .token_count import MARK, UNIT
 
 BLOCK, DIM, HIDDEN, HEAD, RANKS = 16, 16, 64, 192, 2048
@@ -37,10 +42,12 @@ END = 2
 #: Keys of bigrams among the counts start here, beyond all ids.
 PAIRS = 1 << 40
 MARK_BYTES = MARK.encode()
-#: The driver's training sample, the frequent words that are broadcast, and the words a task counts before it emits.
+#: The sample of a bounded trial, the frequent words that are broadcast, and the words a task counts before it emits.
 SAMPLE_ROWS, SAMPLE_IDS = 4_000, 1_200_000
 TABLE_WORDS, TABLE_UNITS, TABLE_WORD_BYTES, TASK_WORDS, CACHE_UNITS = 1 << 18, 1 << 17, 64, 1 << 18, 1 << 18
 EPOCHS, BATCH_ROWS, RATE = 12, 64, 0.006
+#: Text of a part; rounds in all; ids to learn from in all, where texts are gone over again for that; groups in which parts' weights are added up.
+PART_BYTES, ROUNDS, LEAST_IDS, GROUPS = 16 << 20, EPOCHS, EPOCHS * SAMPLE_IDS, 8
 
 
 class Subwords:
@@ -220,8 +227,10 @@ class Model:
         de = dk @ p["k"].T + dv @ p["v"].T
         de[BLOCK:] += down + dq @ p["q"].T
         g = {n: np.zeros_like(p[n]) for n in ("e", "r")}
-        np.add.at(g["e"], x.reshape(-1), de)
-        np.add.at(g["r"], self.gap[~self.mask], ds.sum(0)[~self.mask])
+        order = np.argsort(x.reshape(-1), kind="stable")
+        seen, begins = np.unique(x.reshape(-1)[order], return_index=True)
+        g["e"][seen] = np.add.reduceat(de[order], begins, axis=0)
+        g["r"] += np.bincount(self.gap[~self.mask], ds.sum(0)[~self.mask], 2 * BLOCK).astype(np.float32)
         return loss, g | {"q": own.T @ dq, "k": e.T @ dk, "v": e.T @ dv, "o": o.T @ dh[:, DIM:], "w1": h.T @ dr, "b1": dr.sum(0), "w2": r.T @ dh2, "w3": h2.T @ z, "b3": z.sum(0)}
 
     def fit(self, ids: np.ndarray, sizes: np.ndarray, epochs: int = EPOCHS) -> list[float]:
@@ -246,6 +255,34 @@ class Model:
                     self.p[n] -= (rate * m[n] / (np.sqrt(s[n]) + 1e-8)).astype(np.float32)
         return losses
 
+    def state(self) -> np.ndarray:
+        """The parameters, and for each its two moments, 0."""
+        return np.concatenate([*(v.reshape(-1) for v in self.p.values()), np.zeros(2 * sum(v.size for v in self.p.values()), np.float32)])
+
+    def train(self, state: np.ndarray, step: int, texts: Iterable[tuple[np.ndarray, np.ndarray]], rate: float, seed: int) -> tuple[np.ndarray, int, int]:
+        """The state after these texts (ids and sizes, in slices) in turn, the step it is at, and how many targets there were. The parameters become the state's."""
+        flat = state.copy()
+        size, n = len(flat) // 3, 0
+        p, m, s = flat[:size], flat[size : 2 * size], flat[2 * size :]
+        at = 0
+        for name, v in self.p.items():
+            self.p[name] = p[at : at + v.size].reshape(v.shape)
+            at += v.size
+        rng = np.random.default_rng(seed)
+        for ids, sizes in texts:
+            inputs, targets, scored, _ = layout(ids, sizes)
+            x, y = self.rank[inputs], np.where(targets >= 0, np.minimum(self.rank[np.maximum(targets, 0)], HEAD - 1), -1)
+            y[~scored] = -1
+            n += int((y >= 0).sum())
+            for b in rng.permutation(np.arange(0, max(len(x) - 1, 0), BATCH_ROWS)):
+                grads = self.gradients(x[b : b + BATCH_ROWS + 1], y[b + 1 : b + 1 + BATCH_ROWS].reshape(-1))[1]
+                g = np.concatenate([grads[name].reshape(-1) for name in self.p]).astype(np.float32, copy=False)
+                step += 1
+                m += np.float32(0.1) * (g - m)
+                s += np.float32(0.01) * (g * g - s)
+                p -= np.float32(rate * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)) * m / (np.sqrt(s) + np.float32(1e-8))
+        return flat, step, n
+
     def set_bigrams(self, pairs: np.ndarray, singles: np.ndarray) -> None:
         """pairs: counts by rank and rank; singles: counts by id. Shares back off to the single ids by the number of ids seen after a rank."""
         one = np.bincount(self.rank, singles, RANKS) + 0.5
@@ -310,26 +347,6 @@ class Model:
         text = np.repeat(np.arange(len(n_units)), n_units)
         return (np.bincount(text, logs, len(n_units)) + mixed(ends, np.full(len(ends), self.end_share), self.unit_mix, self.rare)) / np.log(10)
 
-    def fit_mix(self, known: Subwords, units: np.ndarray, n_units: np.ndarray) -> None:
-        """Expectation maximisation of the weight between the attention model and the bigrams."""
-        if not len(n_units):
-            return
-        model, two, place, ends = self.chances(known, units, n_units)
-        used = np.r_[place, ends]
-        for _ in range(20):
-            a = self.mix * model[used]
-            self.mix = float(np.clip((a / (a + (1 - self.mix) * two[used])).mean(), 0.02, 0.98))
-
-    def fit_units(self, own: np.ndarray, share: np.ndarray) -> None:
-        """The same for the weight between a unit's ids and its share."""
-        known = share > 0
-        p, q = np.exp(own[known]), share[known]
-        for _ in range(20 if len(own) else 0):
-            w = self.unit_mix
-            a = np.full(len(own), w / (w + (1 - w) * self.rare) if w + self.rare > 0 else 0.5)
-            a[known] = w * p / (w * p + (1 - w) * q)
-            self.unit_mix = float(np.clip(a.mean(), 0.02, 0.98))
-
 
 def mixed(own: np.ndarray, share: np.ndarray, weight: float, rare: float) -> np.ndarray:
     """Logs of weight * own + (1 - weight) * share, where there is a share; of own times what the shares leave elsewhere."""
@@ -429,7 +446,7 @@ def sample_model(train: DataFrame, model_file: str, rows: int, most_ids: int) ->
 
     A hash of id and text chooses the rows, orders them and splits them. In this order, the text that passes most_ids is cut there and is the last.
     """
-    place = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit(""))), 1)
+    place = place_of()
     share = min(1.0, rows / max(train.count(), 1))
     texts = train.select(place.alias("place"), "text").filter(F.col("place") <= min(int(share * 2**63), 2**63 - 1)).orderBy("place").limit(2 * rows)
     ids_of = subwords(model_file)
@@ -444,62 +461,192 @@ def sample_model(train: DataFrame, model_file: str, rows: int, most_ids: int) ->
         if held >= most_ids:
             break
     seen = np.bincount(np.concatenate([*kept, np.full(len(kept) + 1, END)]), minlength=ids_of.sp.get_piece_size())
-    rank = np.full(len(seen), RANKS - 1, np.int32)
-    rank[np.argsort(-seen, kind="stable")[: RANKS - 1]] = np.arange(RANKS - 1)
-    model = Model(rank)
+    model = Model(ranked(seen))
     own = [x for p, x in zip(places, kept, strict=True) if p % 10]
     flat = lambda xs: (np.concatenate([*xs, np.zeros(0, np.int32)]).astype(np.int32), np.array([len(x) for x in xs], np.int64))
     model.fit(*flat(own))
     return model, left
 
 
-def fit_counts(model: Model, counts: DataFrame, model_file: str, left: list[str], table_units: int = TABLE_UNITS) -> tuple[int, dict[str, float]]:
+def place_of() -> Column:
+    """A number from 0 on, by a hash of id and text. Those that ten divides are left out for the mixing weights."""
+    return F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit(""))), 1)
+
+
+def ranked(singles: np.ndarray) -> np.ndarray:
+    """Each id's rank by its count."""
+    rank = np.full(len(singles), RANKS - 1, np.int32)
+    rank[np.argsort(-singles, kind="stable")[: RANKS - 1]] = np.arange(RANKS - 1)
+    return rank
+
+
+def id_counts(counts: DataFrame, model_file: str) -> np.ndarray:
+    """How often each id occurs in all counted texts, ends included."""
+    pieces = Subwords(model_file).sp.get_piece_size()
+    every = pair_counts(counts, model_file, counts.sparkSession.sparkContext.broadcast(np.zeros(pieces, np.int32))).filter(F.col("key") < PAIRS).toArrow()
+    singles = np.zeros(pieces)
+    singles[every["key"].to_numpy()] = every["n"].to_numpy()
+    singles[END] += text_ends(counts)
+    return singles
+
+
+def text_ends(counts: DataFrame) -> int:
+    return int(counts.filter("unit is null").agg(F.sum("n")).first()[0] or 0)
+
+
+def whole_model(train: DataFrame, counts: DataFrame, model_file: str, stash: Callable[[DataFrame, str], DataFrame]) -> Model:
+    """The model, its attention fitted on all training texts but a tenth."""
+    spark = train.sparkSession
+    singles = id_counts(counts, model_file)
+    model = Model(ranked(singles))
+    epochs = int(min(EPOCHS, max(1, -(-LEAST_IDS // max(int(singles.sum()), 1)))))
+    rounds = ROUNDS // epochs
+    texts = train.select(place_of().alias("place"), "text").filter("place % 10 <> 0")
+    parts = max(1, -(-int(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
+    # Digits of the place that the tenth doesn't fix.
+    texts = texts.select(((F.col("place") / 10).cast("long") % parts).cast("int").alias("part"), (F.floor(F.col("place") / 10 / parts) % rounds).cast("int").alias("round"), "place", "text")
+    table = stash(texts.repartition(parts, "part").sortWithinPartitions("round", "part", "place"), "lm-train")
+    state, step = model.state(), 0
+    for k in range(epochs * rounds):
+        shared = spark.sparkContext.broadcast((model.rank, state, step, RATE * (1 - 0.95 * (k + 0.5) / (epochs * rounds))))
+        own = table.filter(F.col("round") == k % rounds).select("part", "text")
+        done = own.mapInArrow(_trainer(model_file, shared, k), "part int, n long, step long, state binary")
+        means = done.repartition(min(parts, GROUPS), "part").sortWithinPartitions("part").mapInArrow(_mean, "part int, n long, step long, state binary").collect()
+        if means:
+            means.sort(key=lambda r: r.part)
+            n = sum(r.n for r in means)
+            state = (sum(np.frombuffer(r.state, np.float32).astype(float) * r.n for r in means) / n).astype(np.float32)
+            step = max(r.step for r in means)
+        shared.destroy()
+    model.train(state, step, [], 0.0, 0)
+    return model
+
+
+def _trainer(model_file: str, shared: object, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A part's state after its texts, from the shared one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank, state, step, rate = shared.value
+        known = subwords(model_file)
+
+        def slices() -> Iterator[tuple[int, list[str]]]:
+            for piece, texts in native_rows(batches, "text"):
+                part = piece.column(piece.schema.get_field_index("part")).to_numpy()
+                for own in np.split(np.arange(len(part)), np.flatnonzero(part[1:] != part[:-1]) + 1):
+                    yield int(part[own[0]]), [texts[i].decode() for i in own]
+
+        for part, group in itertools.groupby(slices(), key=lambda x: x[0]):
+            got, at, n = Model(rank).train(state, step, (known.encode(texts) for _, texts in group), rate, seed * 1_000_003 + part)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n]), pa.array([at]), pa.array([got.tobytes()], pa.binary())], ["part", "n", "step", "state"])
+
+    return run
+
+
+def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The mean of states by their targets, the targets of all, the greatest step, and the first part."""
+    total, n, step, part = 0.0, 0, 0, None
+    for batch in batches:
+        for r in batch.to_pylist():
+            part = r["part"] if part is None else part
+            total, n, step = total + np.frombuffer(r["state"], np.float32).astype(float) * r["n"], n + r["n"], max(step, r["step"])
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n]), pa.array([step]), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], ["part", "n", "step", "state"])
+
+
+def likeliest(ratios: DataFrame, passes: int = 3, points: int = 16) -> float:
+    """The weight w between 0.02 and 0.98 that makes the sum of log(w r + 1 - w) over all ratios r greatest: its slope falls with w, and is looked at in so many points between two others in turn. A half without ratios."""
+    low, high = 0.02, 0.98
+    for _ in range(passes):
+        at = np.linspace(low, high, points + 2)
+
+        def slopes(batches: Iterator[pa.RecordBatch], at: np.ndarray = at) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for raw in batch.column(0).to_pylist():
+                    r = np.frombuffer(raw, np.float32).astype(float) - 1
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(at))), pa.array([float((r / (w * r + 1)).sum()) for w in at]), pa.array(np.full(len(at), len(r)))], ["k", "slope", "n"])
+
+        found = sorted(tuple(r) for r in ratios.mapInArrow(slopes, "k long, slope double, n long").groupBy("k").agg(F.sum("slope"), F.sum("n")).collect())
+        if not found or not found[0][2]:
+            return 0.5
+        up = sum(x > 0 for _, x, _ in found)
+        low, high = at[max(up - 1, 0)], at[min(up, len(at) - 1)]
+    return float((low + high) / 2)
+
+
+def ratios_of(left: DataFrame, model: Model, model_file: str, shares: dict[str, float] | None = None) -> DataFrame:
+    """Slices of ratios, as floats of four bytes: of each id of the texts the attention model's probability to the bigrams'; with shares, of each unit its ids' probability to its share (without one: 1 to what the shares leave)."""
+    shared = left.sparkSession.sparkContext.broadcast((model, shares))
+    owner = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, shares = shared.value
+        known = subwords(model_file, owner, lambda: (shares or {}, {}))
+        for _, texts in native_rows(batches, "text"):
+            if known.full():
+                known.clear()
+            units, n_units = known.split([t.decode() for t in texts])
+            if shares is None:
+                one, two, place, ends = model.chances(known, units, n_units)
+                used = np.r_[place, ends]
+                r = one[used] / np.maximum(two[used], np.float32(1e-30))
+            else:
+                own, share, _ = model.unit_logs(known, units, n_units)
+                r = np.where(share > 0, np.exp(own - np.log(np.where(share > 0, share, 1.0))), 1 / model.rare)
+            yield pa.RecordBatch.from_arrays([pa.array([np.minimum(r, 1e30).astype(np.float32).tobytes()], pa.binary())], ["r"])
+
+    return left.select("text").mapInArrow(run, "r binary")
+
+
+def fit_counts(model: Model, counts: DataFrame, model_file: str, left: DataFrame, stash: Callable[[DataFrame, str], DataFrame], table_units: int = TABLE_UNITS) -> tuple[int, dict[str, float]]:
     """Sets the model's bigrams and shares from the counts over all training texts, and its mixing weights from the left texts, taken out of the counts for that; returns the number of text ends, and the shares of the frequent units."""
-    spark = counts.sparkSession
-    ends = int(counts.filter("unit is null").agg(F.sum("n")).first()[0] or 0)
-    other = pair_counts(counts, model_file, spark.sparkContext.broadcast(model.rank)).toArrow()
-    key, n = other["key"].to_numpy(), other["n"].to_numpy()
-    pairs, singles, big = np.zeros(RANKS * RANKS), np.zeros(len(model.rank)), key >= PAIRS
-    pairs[key[big] - PAIRS] = n[big]
-    singles[key[~big]] = n[~big]
+    rank = counts.sparkSession.sparkContext.broadcast(model.rank)
     end = int(model.rank[END]) * (RANKS + 1)
-    pairs[end] += ends
-    singles[END] += ends
-    known = Subwords(model_file)
-    units, n_units = known.split(left)
-    cells, ids, _ = bigrams(known, units, model.rank)
-    fewer, single = pairs - np.bincount(cells, minlength=len(pairs)), singles - np.bincount(ids, minlength=len(singles))
-    fewer[end] -= len(left)
-    single[END] -= len(left)
-    model.set_bigrams(np.maximum(fewer, 0).reshape(RANKS, RANKS), np.maximum(single, 0))
-    model.fit_mix(known, units, n_units)
-    all_units = counts.filter("plain is not null").groupBy("unit").agg(F.sum("n").alias("n"))
-    total = int(all_units.agg(F.sum("n")).first()[0] or 0) + ends
-    table = all_units.filter((F.col("n") >= frequent_from(all_units, table_units)) & (F.octet_length("unit") <= TABLE_WORD_BYTES)).toArrow()
+
+    def cells(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+        ends, other = text_ends(counts), pair_counts(counts, model_file, rank).toArrow()
+        key, n = other["key"].to_numpy(), other["n"].to_numpy()
+        pairs, singles, big = np.zeros(RANKS * RANKS), np.zeros(len(model.rank)), key >= PAIRS
+        pairs[key[big] - PAIRS] = n[big]
+        singles[key[~big]] = n[~big]
+        pairs[end] += ends
+        singles[END] += ends
+        return pairs, singles, ends
+
+    pairs, singles, ends = cells(counts)
+    own = stash(unit_counts(left), "lm-left-counts")
+    own_pairs, own_singles, own_ends = cells(own)
+    model.set_bigrams(np.maximum(pairs - own_pairs, 0).reshape(RANKS, RANKS), np.maximum(singles - own_singles, 0))
+    del own_pairs
+    model.mix = likeliest(stash(ratios_of(left, model, model_file), "lm-id-ratios"))
+    units_of = lambda df: df.filter("plain is not null").groupBy("unit").agg(F.sum("n").alias("n"))
+    all_units, own_units = units_of(counts), units_of(own)
+    total, own_total = (int(df.agg(F.sum("n")).first()[0] or 0) + e for df, e in ((all_units, ends), (own_units, own_ends)))
+    table = all_units.filter((F.col("n") >= frequent_from(all_units, table_units)) & (F.octet_length("unit") <= TABLE_WORD_BYTES))
+    table = table.join(own_units.withColumnRenamed("n", "less"), "unit", "left").select("unit", "n", F.coalesce("less", F.lit(0)).alias("less")).toArrow()
     names, n_table = table["unit"].to_pylist(), table["n"].to_numpy().astype(float)
-    own, at = np.zeros(len(names)), {u: i for i, u in enumerate(names)}
-    for unit, times in zip(known.at, np.bincount(units, minlength=len(known.at)), strict=True):
-        if unit in at:
-            own[at[unit]] = times
-    less = np.maximum(n_table - own, 0) / max(total - len(units) - len(left), 1)
-    known.share = np.array([less[at[u]] if u in at else 0.0 for u in known.at])
-    model.rare = max(1 - float(less.sum()) - (ends - len(left)) / max(total, 1), 1e-6)
-    model.fit_units(*model.unit_logs(known, units, n_units)[:2])
+    less = np.maximum(n_table - table["less"].to_numpy(), 0) / max(total - own_total, 1)
+    model.rare = max(1 - float(less.sum()) - (ends - own_ends) / max(total, 1), 1e-6)
+    model.unit_mix = likeliest(stash(ratios_of(left, model, model_file, {u: x for u, x in zip(names, less.tolist(), strict=True) if x > 0}), "lm-unit-ratios"))
     model.set_bigrams(pairs.reshape(RANKS, RANKS), singles)
     shares, model.end_share = n_table / max(total, 1), ends / max(total, 1)
     model.rare = max(1 - float(shares.sum()) - model.end_share, 1e-6)
     return ends, dict(zip(names, shares.tolist(), strict=True))
 
 
-def lm_scores(docs: DataFrame, model_file: str, sample_rows: int = SAMPLE_ROWS, sample_ids: int = SAMPLE_IDS, table_words: int = TABLE_WORDS) -> DataFrame:
+def lm_scores(docs: DataFrame, model_file: str, sample_rows: int | None = None, sample_ids: int | None = None, table_words: int = TABLE_WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     held = crc_mod(F.col("doc_id"), 10) == 0
     train = docs.filter(~held)
-    model, left = sample_model(train, model_file, sample_rows, sample_ids)
     counts = stash(unit_counts(train), "lm-counts")
     words = stash(word_counts(counts), "lm-words")
-    ends, units = fit_counts(model, counts, model_file, left)
+    with Scratch(spark) as scratch:
+        if sample_rows is None and sample_ids is None:
+            model, left = whole_model(train, counts, model_file, scratch), train.filter(place_of() % 10 == 0).select("text")
+        else:
+            model, left = sample_model(train, model_file, SAMPLE_ROWS if sample_rows is None else sample_rows, SAMPLE_IDS if sample_ids is None else sample_ids)
+            left = spark.createDataFrame([(t,) for t in left], "text string")
+        ends, units = fit_counts(model, counts, model_file, left, scratch)
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, kinds = sums.n + ends, sums.v + (ends > 0)
     least = frequent_from(words, table_words)

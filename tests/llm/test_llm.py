@@ -289,6 +289,34 @@ def test_lm_counts_all_training_texts(spark, monkeypatch):
     assert (singles == n).all() and (pairs == two).all()
 
 
+def test_lm_learns_from_all_training_texts(spark, monkeypatch):
+    """Each training text but the tenth trains the attention, however many there are; the layout of the table is without effect."""
+    docs = table(spark, [*EDGES, *(prose(i, 40) for i in range(60))])
+    monkeypatch.setattr(lm_score, "PART_BYTES", 2_000)
+    monkeypatch.setattr(lm_score, "LEAST_IDS", 0)
+    mean = lm_score._mean
+    targets = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in mean(batches):
+            targets.add(b.column(1)[0].as_py())
+            yield b
+
+    monkeypatch.setattr(lm_score, "_mean", counted)
+    got = by_id(lm_score.lm_scores(docs, PIECES))
+    known, train = lm_score.Subwords(PIECES), docs.filter(F.crc32(F.col("doc_id").cast("string")) % 10 != 0)
+    texts = [r.text or "" for r in train.filter(lm_score.place_of() % 10 != 0).collect()]
+    ids, sizes = known.encode(texts)
+    assert targets.value == len(ids) + len(sizes)
+    again = by_id(lm_score.lm_scores(docs.repartition(7, "text"), PIECES))
+    assert all(np.isclose(got[i].score, again[i].score, rtol=1e-5) for i in got)
+    # A weight of the greatest likelihood, as by trying many.
+    r = np.exp(np.random.default_rng(1).normal(0.1, 1, 3_000)).astype(np.float32)
+    w = np.linspace(0.02, 0.98, 2_000)
+    best = w[np.argmax([np.log(x * r + 1 - x).sum() for x in w])]
+    assert abs(lm_score.likeliest(spark.createDataFrame([(bytearray(x.tobytes()),) for x in np.split(r, 3)], "r binary")) - best) < 1e-3
+
+
 def test_lm_sample_is_random(spark, monkeypatch):
     texts = [f"{c}{c} {prose(i, 40)}" for i, c in enumerate("abcdefghijklmnopqrstuvwxyz" * 4)]
     got = []
