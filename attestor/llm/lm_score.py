@@ -473,6 +473,11 @@ def place_of() -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit(""))), 1)
 
 
+def _digits(parts: int, rounds: int) -> tuple[Column, Column]:
+    """The part and the round of a place: digits that the tenth doesn't fix. Whole numbers only, since doubles lose them."""
+    return F.expr(f"cast(place div 10 % {parts} as int)").alias("part"), F.expr(f"cast(place div 10 div {parts} % {rounds} as int)").alias("round")
+
+
 def ranked(singles: np.ndarray) -> np.ndarray:
     """Each id's rank by its count."""
     rank = np.full(len(singles), RANKS - 1, np.int32)
@@ -503,9 +508,8 @@ def whole_model(train: DataFrame, counts: DataFrame, model_file: str, stash: Cal
     rounds = ROUNDS // epochs
     texts = train.select(place_of().alias("place"), "text").filter("place % 10 <> 0")
     parts = max(1, -(-int(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
-    # Digits of the place that the tenth doesn't fix.
-    texts = texts.select(((F.col("place") / 10).cast("long") % parts).cast("int").alias("part"), (F.floor(F.col("place") / 10 / parts) % rounds).cast("int").alias("round"), "place", "text")
-    table = stash(texts.repartition(parts, "part").sortWithinPartitions("round", "part", "place"), "lm-train")
+    texts = texts.select(*_digits(parts, rounds), "place", "text")
+    table = stash(texts.repartitionById(parts, "part").sortWithinPartitions("round", "part", "place"), "lm-train")
     state, step = model.state(), 0
     for k in range(epochs * rounds):
         shared = spark.sparkContext.broadcast((model.rank, state, step, RATE * (1 - 0.95 * (k + 0.5) / (epochs * rounds))))

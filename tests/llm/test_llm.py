@@ -317,6 +317,13 @@ def test_lm_learns_from_all_training_texts(spark, monkeypatch):
     assert abs(lm_score.likeliest(spark.createDataFrame([(bytearray(x.tobytes()),) for x in np.split(r, 3)], "r binary")) - best) < 1e-3
 
 
+def test_lm_parts_and_rounds_are_even(spark):
+    """Places of 63 bits spread over all parts and rounds."""
+    places = spark.range(20_000).select(F.shiftrightunsigned(F.xxhash64("id"), 1).alias("place"))
+    got = places.select(*lm_score._digits(8, 12)).groupBy("part", "round").count().collect()
+    assert len(got) == 96 and min(r["count"] for r in got) > 120
+
+
 def test_lm_sample_is_random(spark, monkeypatch):
     texts = [f"{c}{c} {prose(i, 40)}" for i, c in enumerate("abcdefghijklmnopqrstuvwxyz" * 4)]
     got = []
