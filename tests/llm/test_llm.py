@@ -128,6 +128,24 @@ def test_similar(spark, rows):
         assert (got[i].n_shingles, got[i].n_similar, got[i].component_id) == (len(sets[i]), len(links[i]), min(seen)), i
 
 
+def test_similar_counted_in_a_sample(spark, monkeypatch):
+    """Whatever share of the sets the order is counted in, links are the same."""
+    texts = [" ".join(w if (i * 7 + k) % 23 else f"v{i}" for k, w in enumerate(prose(i % 5, 60).split())) for i in range(40)]
+    links = [sum(100 * len(a & b) >= 60 * len(a | b) for b in map(shingles, texts)) - 1 for a in map(shingles, texts)]
+    monkeypatch.setattr(ngram_join, "COUNTED", 100)
+    got = by_id(ngram_join.similar(table(spark, texts)))
+    assert [got[i].n_similar for i in range(len(texts))] == links and max(links) > 0
+
+
+def test_frequencies_tell_shingles_of_large_tables_apart(spark):
+    """A rare shingle comes before a frequent one with the same last 20 bits; more than a million distinct ones meet there."""
+    often, rare = 5, 5 + (1 << 21)
+    reps = spark.createDataFrame([(i, 1, [often]) for i in range(50)] + [(50, 2, [often, rare])], "cls long, n int, h array<long>")
+    total = 40_000_000
+    levels = ngram_join.frequencies(reps, min(total, ngram_join.COUNTED)).first().levels
+    assert levels[rare & (len(levels) - 1)] < levels[often]
+
+
 def test_rules_counts():
     c = dict(zip(rules.COUNTS, rules.counts("a b c a b c # |\nx\nx\n\n\n".encode()), strict=True))
     assert (c["n_words"], c["word_chars"], c["n_symbols"], c["n_dup_lines"], c["n_repeat_words"]) == (10, 10, 2, 1, 6)
