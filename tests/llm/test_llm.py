@@ -146,6 +146,23 @@ def test_frequencies_tell_shingles_of_large_tables_apart(spark):
     assert levels[rare & (len(levels) - 1)] < levels[often]
 
 
+def test_signatures_are_computed_once(spark, monkeypatch):
+    seen, whole = spark.sparkContext.accumulator(0), ngram_join.signatures
+
+    def counted(reps):
+        def run(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return whole(reps.mapInArrow(run, reps.schema))
+
+    monkeypatch.setattr(ngram_join, "signatures", counted)
+    texts = [prose(i, 60) for i in range(30)]
+    ngram_join.similar(table(spark, texts))
+    assert seen.value == 30
+
+
 def test_rules_counts():
     c = dict(zip(rules.COUNTS, rules.counts("a b c a b c # |\nx\nx\n\n\n".encode()), strict=True))
     assert (c["n_words"], c["word_chars"], c["n_symbols"], c["n_dup_lines"], c["n_repeat_words"]) == (10, 10, 2, 1, 6)
