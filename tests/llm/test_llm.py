@@ -146,6 +146,22 @@ def test_frequencies_tell_shingles_of_large_tables_apart(spark):
     assert levels[rare & (len(levels) - 1)] < levels[often]
 
 
+def test_frequencies_are_few_and_of_repeated_shingles(spark):
+    """The driver sends four million levels at most, whatever the table, and shingles that occur once don't crowd them."""
+    once = [7 + (i << 30) for i in range(60)]
+    reps = spark.createDataFrame([(0, 60, once), (1, 1, [9]), (2, 1, [9])], "cls long, n int, h array<long>")
+    levels = ngram_join.frequencies(reps, ngram_join.COUNTED).first().levels
+    assert len(levels) <= 1 << 22 and levels[7] == 0 < levels[9]
+
+
+def test_similar_collects_the_drivers_heap_between_tables(spark, monkeypatch):
+    swept, whole = [], ngram_join.Scratch.sweep
+    monkeypatch.setattr(ngram_join.Scratch, "sweep", lambda self: (swept.append(len(self.paths)), whole(self)))
+    monkeypatch.setattr(ngram_join, "HEAP", 0.0)
+    ngram_join.similar(table(spark, [prose(i % 5, 60) for i in range(20)]))
+    assert len(swept) > 20
+
+
 def test_signatures_are_computed_once(spark, monkeypatch):
     seen, whole = spark.sparkContext.accumulator(0), ngram_join.signatures
 
