@@ -31,14 +31,17 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, crc_mod, lower_ascii, map_texts, native_rows, stash
-from .token_count import MARK, UNIT
+from .token_count import MARK, UNIT  # noqa: F401
 
 BLOCK, DIM, HIDDEN, HEAD, RANKS = 16, 16, 64, 192, 2048
 END = 2
+#: Places whose HEAD columns are worked on at a time.
+PLACES, ONES = 16 * BLOCK, np.ones(HEAD, np.float32)
 #: Keys of bigrams among the counts start here, beyond all ids.
 PAIRS = 1 << 40
 MARK_BYTES = MARK.encode()
@@ -50,6 +53,28 @@ EPOCHS, BATCH_ROWS, RATE = 12, 64, 0.006
 PART_BYTES, ROUNDS, LEAST_IDS, GROUPS = 16 << 20, EPOCHS, EPOCHS * SAMPLE_IDS, 8
 
 
+def cut(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The units of all texts in turn, with spaces for marks, and how many each text has. As UNIT has them: one starts at a line end, after one, and at the first of a run of marks; a text that isn't empty starts with a mark."""
+    own = [b" " + t.replace(MARK_BYTES, b" ") if t else b"" for t in texts]
+    sizes = np.fromiter(map(len, own), np.int64, len(own))
+    data = b"".join(own)
+    flat = np.frombuffer(data, np.uint8)
+    starts, lines = flat == 32, flat == 10
+    starts[1:] &= ~starts[:-1]
+    starts |= lines
+    starts[1:] |= lines[:-1]
+    ends = np.cumsum(sizes)
+    starts[(ends - sizes)[sizes > 0]] = True
+    at = np.r_[np.flatnonzero(starts), len(flat)]
+    bounds = np.searchsorted(at[:-1], np.r_[0, ends])
+    return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]), np.diff(bounds)
+
+
+def names_of(units: pa.Array) -> list[str]:
+    """Units of cut() as text, with marks."""
+    return pc.replace_substring(units.cast(pa.large_string()), " ", MARK).to_numpy(zero_copy_only=False).tolist()
+
+
 class Subwords:
     """Texts to ids, by units whose ids are cached; exact for vocabularies that split by units."""
 
@@ -67,9 +92,11 @@ class Subwords:
         self.first, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.share, self.words, self.known, self.log = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         self.rare: dict[int, list[bytes]] = {}
+        self.new: list[str] = []
 
     def trim(self) -> None:
         """Keeps the units of the table of shares."""
+        self.facts()
         kept = np.flatnonzero(self.share > 0)
         new = np.full(len(self.share), -1, np.int64)
         new[kept] = np.arange(len(kept))
@@ -84,47 +111,43 @@ class Subwords:
     def full(self) -> bool:
         return len(self.at) > CACHE_UNITS
 
-    def split(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def split(self, texts: list[str] | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The units of all texts by their numbers in the cache, and how many each text has."""
-        split = [UNIT.findall((MARK + t).replace(" ", MARK)) if t else [] for t in texts]
-        missing = [u for u in set().union(*split) if u not in self.at]
-        if missing:
+        units, n_units = cut([t.encode() if isinstance(t, str) else t for t in texts])
+        units = units.dictionary_encode()
+        names = names_of(units.dictionary)
+        numbers = list(map(self.at.get, names))
+        if missing := [u for u, k in zip(names, numbers, strict=True) if k is None]:
             base = len(self.at)
-            own = [x[self.skip :] for x in self.sp.encode(["\n" + u for u in missing], num_threads=1)]
+            flat, sizes = self.once(missing)
             self.at.update(zip(missing, range(base, base + len(missing)), strict=True))
-            sizes = np.fromiter(map(len, own), np.int64, len(own))
             self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(sizes) - sizes])
             self.size = np.concatenate([self.size, sizes])
-            self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(own), np.int32, int(sizes.sum()))])
-            self._facts(missing, base)
-        n_units = np.fromiter(map(len, split), np.int64, len(split))
-        return np.fromiter(map(self.at.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(n_units.sum())), n_units
-
-    def _facts(self, missing: list[str], base: int) -> None:
-        """Of each new unit: its share, its words, how many of them the table has, and the sum of their logs."""
-        words, known, sums = [], [], []
-        for i, u in enumerate(missing, base):
+            self.flat = np.concatenate([self.flat, flat])
+            self.new += missing
+            numbers = list(map(self.at.__getitem__, names))
+        return np.array(numbers, np.int64)[units.indices.to_numpy()], n_units
+
+    def facts(self) -> None:
+        """Sets of each new unit: its share, its words, how many of them the table has, and the sum of their logs. Whoever reads them calls it first."""
+        words, known, sums, of = [], [], [], self.logs.get
+        for i, u in enumerate(self.new, len(self.share)):
             own = u.replace(MARK, " ").encode().lower().split()
-            logs = [self.logs[w] for w in own if w in self.logs]
+            logs = [x for x in map(of, own) if x is not None]
             if len(logs) < len(own):
                 self.rare[i] = [w for w in own if w not in self.logs]
             words.append(len(own))
             known.append(len(logs))
             sums.append(sum(logs))
-        self.share = np.concatenate([self.share, [self.shares.get(u, 0.0) for u in missing]])
-        self.words, self.known, self.log = (np.concatenate([x, y]) for x, y in ((self.words, words), (self.known, known), (self.log, sums)))
-
-    def split_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Units that are given one by one."""
-        missing = [u for u in set(units) if u not in self.at]
-        if missing:
-            own = [x[self.skip :] for x in self.sp.encode(["\n" + u for u in missing], num_threads=1)]
-            self.at.update(zip(missing, range(len(self.at), len(self.at) + len(missing)), strict=True))
-            sizes = np.fromiter(map(len, own), np.int64, len(own))
-            self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.size = np.concatenate([self.size, sizes])
-            self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(own), np.int32, int(sizes.sum()))])
-        return np.fromiter(map(self.at.__getitem__, units), np.int64, len(units)), np.ones(len(units), np.int64)
+        self.share = np.concatenate([self.share, [self.shares.get(u, 0.0) for u in self.new]])
+        self.words, self.known, self.log = (np.concatenate([x, y]) for x, y in ((self.words, np.array(words, np.int64)), (self.known, np.array(known, np.int64)), (self.log, sums)))
+        self.new = []
+
+    def once(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units, and how many each has, without the cache: for units of which each comes once."""
+        own = [x[self.skip :] for x in self.sp.encode(["\n" + u for u in units], num_threads=1)]
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        return np.fromiter(itertools.chain.from_iterable(own), np.int32, int(sizes.sum())), sizes
 
     def ids(self, units: np.ndarray, n_units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and each text's number."""
@@ -134,7 +157,7 @@ class Subwords:
         bounds = np.r_[0, ends][np.r_[0, np.cumsum(n_units)]]
         return ids, np.diff(bounds)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str] | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if self.full():
             self.clear()
         return self.ids(*self.split(texts))
@@ -156,6 +179,11 @@ def layout(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return inputs, targets, scored, first
 
 
+def windows(x: np.ndarray) -> np.ndarray:
+    """Each row but the first after the row before it, of an array that has BLOCK places a row one after the other."""
+    return np.ndarray((len(x) // BLOCK - 1, 2 * BLOCK, DIM), x.dtype, x, 0, (BLOCK * x.strides[0], *x.strides))
+
+
 class Model:
     """rank: id to rank by frequency (RANKS - 1: all others); parameters p."""
 
@@ -171,67 +199,104 @@ class Model:
         gap = BLOCK + np.arange(BLOCK)[:, None] - np.arange(2 * BLOCK)[None]
         self.gap, self.mask, self.keep = np.clip(gap, 0, 2 * BLOCK - 1), gap < 0, (gap >= 0).astype(np.float32)
 
+    def attend(self, q: np.ndarray, k: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The attention's shares, and what rows 1 and on get by them. q: scaled queries of these rows; k, v: keys and values of all."""
+        a = np.matmul(q.reshape(-1, BLOCK, DIM), windows(k).transpose(0, 2, 1))
+        np.exp(np.clip(a, -60, 60, out=a), out=a)
+        a *= np.exp(self.p["r"])[self.gap] * self.keep
+        a *= 1 / np.matmul(a, np.ones((2 * BLOCK, 1), np.float32))
+        return a, np.matmul(a, windows(v)).reshape(-1, DIM)
+
+    def head(self, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """exp of the logits, and its sums; h2 ends with a column of ones. Logits are small numbers; where one isn't, each row's greatest is taken off first."""
+        w = np.concatenate([self.p["w3"], self.p["b3"][None]])
+        with np.errstate(over="ignore"):
+            z = h2 @ w
+            sums = np.exp(z, out=z) @ ONES
+        if len(sums) and not 1e-25 < float(sums.min()) <= float(sums.max()) < 1e25:
+            z = h2 @ w
+            z -= z.max(1, keepdims=True)
+            sums = np.exp(z, out=z) @ ONES
+        return z, sums
+
     def forward(self, x: np.ndarray) -> tuple:
-        """Of rows 1 and on: the head's logits; row 0 is only a window."""
+        """Of rows 1 and on: what the head gets, with a column of ones; row 0 is only a window."""
         p = self.p
-        rows = len(x)
-        e = p["e"][x.reshape(-1)]
-        k, v = (e @ p["k"]).reshape(rows, BLOCK, DIM), (e @ p["v"]).reshape(rows, BLOCK, DIM)
-        pair = lambda a: np.lib.stride_tricks.as_strided(a, (rows - 1, 2 * BLOCK, DIM), a.strides)
+        e = p["e"].take(x.reshape(-1), 0)
         own = e[BLOCK:]
-        q = (own @ (p["q"] * np.float32(DIM**-0.5))).reshape(rows - 1, BLOCK, DIM)
-        a = np.matmul(q, pair(k).transpose(0, 2, 1))
-        a += p["r"][self.gap]
-        np.exp(np.clip(a, -60, 60, out=a), out=a)
-        a *= self.keep
-        a *= 1 / np.matmul(a, np.ones((2 * BLOCK, 1), np.float32))
-        o = np.matmul(a, pair(v)).reshape(-1, DIM)
+        q, k, v = own @ (p["q"] * np.float32(DIM**-0.5)), e @ p["k"], e @ p["v"]
+        a, o = self.attend(q, k, v)
         h = np.empty((len(o), 2 * DIM), np.float32)
         h[:, :DIM] = own
         np.matmul(o, p["o"], out=h[:, DIM:])
         r = h @ p["w1"]
         r += p["b1"]
         np.maximum(r, 0, out=r)
-        h2 = r @ p["w2"]
-        h2 += own
-        z = h2 @ p["w3"]
-        z += p["b3"]
-        return z, (e, k, v, q, a, o, h, r, h2, own, pair)
+        h2 = np.ones((len(o), DIM + 1), np.float32)
+        np.add(r @ p["w2"], own, out=h2[:, :DIM])
+        return h2, (e, q, k, v, a, o, h, r)
 
-    def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
+    def gradients(self, x: np.ndarray, y: np.ndarray, g: dict | None = None) -> tuple[float, dict]:
+        """The loss, and the gradients of the parameters, in g's arrays where it is given."""
         p, rows = self.p, len(x)
-        z, (e, k, v, q, a, o, h, r, h2, own, pair) = self.forward(x)
-        z -= z.max(1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
-        at = np.flatnonzero(y >= 0)
-        loss = float(-np.log(z[at, y[at]] + 1e-12).mean())
-        z[at, y[at]] -= 1
-        z[y < 0] = 0
-        z /= max(len(at), 1)
-        dh2 = z @ p["w3"].T
-        dr = (dh2 @ p["w2"].T) * (r > 0)
+        g = {n: np.empty_like(v) for n, v in p.items()} if g is None else g
+        h2, (e, q, k, v, a, o, h, r) = self.forward(x)
+        own = e[BLOCK:]
+        dh2, right, count = np.empty((len(h2), DIM), np.float32), np.ones(len(h2), np.float32), max(int((y >= 0).sum()), 1)
+        g["w3"][:] = g["b3"][:] = 0
+        # A few places at a time, whose HEAD columns stay in the processor's cache.
+        for b in range(0, len(h2), PLACES):
+            piece = slice(b, b + PLACES)
+            z, sums = self.head(h2[piece])
+            at = np.flatnonzero(y[piece] >= 0)
+            top = y[piece][at]
+            true, sums = z[at, top], sums[at]
+            right[piece][at] = true / sums
+            # Rows of z become sums times (probabilities less the targets), of which scale makes the gradients.
+            z[at, top] = true - sums
+            scale = np.zeros((len(z), 1), np.float32)
+            scale[at, 0] = 1 / (sums * np.float32(count))
+            np.multiply(z @ p["w3"].T, scale, out=dh2[piece])
+            g["w3"] += (h2[piece, :DIM] * scale).T @ z
+            g["b3"] += scale[:, 0] @ z
+        loss = float(-np.log(right + np.float32(1e-12)).sum()) / count
+        dr = dh2 @ p["w2"].T
+        dr *= r > 0
         dh = dr @ p["w1"].T
-        down = dh2 + dh[:, :DIM]
+        np.matmul(r.T, dh2, out=g["w2"])
+        np.matmul(h.T, dr, out=g["w1"])
+        np.matmul(np.ones(len(dr), np.float32), dr, out=g["b1"])
+        np.matmul(o.T, dh[:, DIM:], out=g["o"])
         do = dh[:, DIM:] @ p["o"].T
         do3 = do.reshape(rows - 1, BLOCK, DIM)
-        da = np.matmul(do3, pair(v).transpose(0, 2, 1))
-        ds = a * (da - (da * a).sum(2, keepdims=True))
-        dv2, dk2 = np.matmul(a.transpose(0, 2, 1), do3), np.matmul(ds.transpose(0, 2, 1), q)
-        dq = np.matmul(ds, pair(k)).reshape(-1, DIM) * np.float32(DIM**-0.5)
-        dk, dv = np.zeros_like(k), np.zeros_like(v)
-        for whole, part in ((dk, dk2), (dv, dv2)):
+        ds = np.matmul(do3, windows(v).transpose(0, 2, 1))
+        # The shares' mean of what they get is what do has of o.
+        ds -= np.einsum("ij,ij->i", do, o).reshape(rows - 1, BLOCK, 1)
+        ds *= a
+        dq = np.matmul(ds, windows(k)).reshape(-1, DIM)
+        dq *= np.float32(DIM**-0.5)
+        dk, dv = np.zeros_like(e), np.zeros_like(e)
+        for whole, part in ((dk, np.matmul(ds.transpose(0, 2, 1), q.reshape(do3.shape))), (dv, np.matmul(a.transpose(0, 2, 1), do3))):
+            whole = whole.reshape(rows, BLOCK, DIM)
+            whole[1:] = part[:, BLOCK:]
             whole[:-1] += part[:, :BLOCK]
-            whole[1:] += part[:, BLOCK:]
-        dk, dv = dk.reshape(-1, DIM), dv.reshape(-1, DIM)
-        de = dk @ p["k"].T + dv @ p["v"].T
-        de[BLOCK:] += down + dq @ p["q"].T
-        g = {n: np.zeros_like(p[n]) for n in ("e", "r")}
-        order = np.argsort(x.reshape(-1), kind="stable")
-        seen, begins = np.unique(x.reshape(-1)[order], return_index=True)
-        g["e"][seen] = np.add.reduceat(de[order], begins, axis=0)
-        g["r"] += np.bincount(self.gap[~self.mask], ds.sum(0)[~self.mask], 2 * BLOCK).astype(np.float32)
-        return loss, g | {"q": own.T @ dq, "k": e.T @ dk, "v": e.T @ dv, "o": o.T @ dh[:, DIM:], "w1": h.T @ dr, "b1": dr.sum(0), "w2": r.T @ dh2, "w3": h2.T @ z, "b3": z.sum(0)}
+        np.matmul(own.T, dq, out=g["q"])
+        np.matmul(e.T, dk, out=g["k"])
+        np.matmul(e.T, dv, out=g["v"])
+        de = dk @ p["k"].T
+        de += dv @ p["v"].T
+        dh2 += dh[:, :DIM]
+        dh2 += dq @ p["q"].T
+        de[BLOCK:] += dh2
+        g["r"][:] = np.bincount(self.gap.reshape(-1), (np.ones(rows - 1, np.float32) @ ds.reshape(rows - 1, -1)) * self.keep.reshape(-1), 2 * BLOCK)
+        flat = x.reshape(-1).astype(np.uint16)
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
+        begins = np.r_[0, np.flatnonzero(flat[1:] != flat[:-1]) + 1]
+        # Not 0, for the moments of an id that isn't seen for long would become subnormal numbers, which are slow.
+        g["e"][:] = np.float32(1e-18)
+        g["e"][flat[begins]] = np.add.reduceat(de.take(order, 0), begins, axis=0)
+        return loss, g
 
     def fit(self, ids: np.ndarray, sizes: np.ndarray, epochs: int = EPOCHS) -> list[float]:
         inputs, targets, scored, _ = layout(ids, sizes)
@@ -268,6 +333,8 @@ class Model:
         for name, v in self.p.items():
             self.p[name] = p[at : at + v.size].reshape(v.shape)
             at += v.size
+        g, t = np.empty_like(p), np.empty_like(p)
+        grads = dict(zip(self.p, (x.reshape(v.shape) for v, x in zip(self.p.values(), np.split(g, np.cumsum([v.size for v in self.p.values()])[:-1]), strict=True)), strict=True))
         rng = np.random.default_rng(seed)
         for ids, sizes in texts:
             inputs, targets, scored, _ = layout(ids, sizes)
@@ -275,12 +342,21 @@ class Model:
             y[~scored] = -1
             n += int((y >= 0).sum())
             for b in rng.permutation(np.arange(0, max(len(x) - 1, 0), BATCH_ROWS)):
-                grads = self.gradients(x[b : b + BATCH_ROWS + 1], y[b + 1 : b + 1 + BATCH_ROWS].reshape(-1))[1]
-                g = np.concatenate([grads[name].reshape(-1) for name in self.p]).astype(np.float32, copy=False)
+                self.gradients(x[b : b + BATCH_ROWS + 1], y[b + 1 : b + 1 + BATCH_ROWS].reshape(-1), grads)
                 step += 1
-                m += np.float32(0.1) * (g - m)
-                s += np.float32(0.01) * (g * g - s)
-                p -= np.float32(rate * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)) * m / (np.sqrt(s) + np.float32(1e-8))
+                # In place: m += 0.1 (g - m), s += 0.01 (g g - s), p -= rate m / (sqrt(s) + 1e-8).
+                np.subtract(g, m, out=t)
+                t *= np.float32(0.1)
+                m += t
+                g *= g
+                g -= s
+                g *= np.float32(0.01)
+                s += g
+                np.sqrt(s, out=t)
+                t += np.float32(1e-8)
+                np.divide(m, t, out=t)
+                t *= np.float32(rate * np.sqrt(1 - 0.99**step) / (1 - 0.9**step))
+                p -= t
         return flat, step, n
 
     def set_bigrams(self, pairs: np.ndarray, singles: np.ndarray) -> None:
@@ -299,15 +375,21 @@ class Model:
         y, last = self.rank[at], x[1:].reshape(-1).copy()
         last[fresh] = self.rank[END]
         two, within, top = self.pairs.reshape(-1)[last.astype(np.int64) * RANKS + y], self.within[at], np.minimum(y, HEAD - 1)
-        model, ones, step = np.empty(len(y), np.float32), np.ones(HEAD, np.float32), np.arange(rows * BLOCK) * HEAD
+        model, step = np.empty(len(y), np.float32), np.arange(PLACES) * HEAD
+        # What forward() does, with all that depends on a rank alone in tables.
+        p = self.p
+        tables = [p["e"] @ (p["q"] * np.float32(DIM**-0.5)), p["e"] @ p["k"], p["e"] @ p["v"], p["e"], p["e"] @ p["w1"][:DIM] + p["b1"]]
+        down, h2 = p["o"] @ p["w1"][DIM:], np.ones((rows * BLOCK, DIM + 1), np.float32)
         for b in range(0, len(x) - 1, rows):
-            z, _ = self.forward(x[b : b + rows + 1])
-            # Logits are small numbers; where one isn't, the row's greatest is taken off first.
-            if not -60 < float(z.min()) <= float(z.max()) < 60:
-                z -= z.max(1, keepdims=True)
-            np.exp(z, out=z)
-            own = slice(b * BLOCK, b * BLOCK + len(z))
-            model[own] = z.reshape(-1)[step[: len(z)] + top[own]] / (z @ ones)
+            every = x[b : b + rows + 1].reshape(-1)
+            q, k, v, e, h = (t.take(every[0 if t is tables[1] or t is tables[2] else BLOCK :], 0) for t in tables)
+            h += self.attend(q, k, v)[1] @ down
+            r = np.maximum(h, 0, out=h)
+            np.add(r @ p["w2"], e, out=h2[: len(r), :DIM])
+            for k in range(0, len(r), PLACES):
+                z, sums = self.head(h2[k : min(k + PLACES, len(r))])
+                own = slice(b * BLOCK + k, b * BLOCK + k + len(z))
+                model[own] = z.reshape(-1)[step[: len(z)] + top[own]] / sums
         rest = y >= HEAD - 1
         model[rest] *= two[rest] / self.rest[last[rest]]
         model *= within
@@ -338,6 +420,7 @@ class Model:
         model += two
         logs = np.log(model)
         sums = np.r_[0.0, np.cumsum(logs[place], dtype=np.float64)][np.r_[0, np.cumsum(known.size[units])]]
+        known.facts()
         return np.diff(sums), known.share[units], logs[ends].astype(np.float64)
 
     def score(self, known: Subwords, units: np.ndarray, n_units: np.ndarray) -> np.ndarray:
@@ -368,14 +451,12 @@ def subwords(model: str, owner: str = "", tables: Callable[[], tuple[dict[str, f
     return _SUBWORDS[model, owner]
 
 
-def bigrams(known: Subwords, units: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all ids of the units: the cell (rank * RANKS + rank) of each and the one before it in its unit, where the first comes after an end; the ids; and the units' numbers in `units`."""
-    sizes = known.size[units]
-    ids, _ = known.ids(units, np.ones(len(units), np.int64))
+def bigrams(ids: np.ndarray, sizes: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The cell (rank * RANKS + rank) of each id and the one before it in its unit, where the first comes after an end. sizes: of the units."""
     before = np.r_[END, ids[:-1]] if len(ids) else ids
     begins = (np.cumsum(sizes) - sizes)[sizes > 0]
     before[begins] = END
-    return rank[before].astype(np.int64) * RANKS + rank[ids], ids, np.repeat(np.arange(len(units)), sizes)
+    return rank[before].astype(np.int64) * RANKS + rank[ids]
 
 
 def unit_counts(train: DataFrame) -> DataFrame:
@@ -385,12 +466,13 @@ def unit_counts(train: DataFrame) -> DataFrame:
         plain, other, words, ends = Counter(), Counter(), Counter(), 0
         for _, texts in native_rows(batches, "text"):
             ends += len(texts)
-            for raw in texts:
-                text = raw.decode()
-                odd = MARK in text
-                (other if odd else plain).update(UNIT.findall((MARK + text).replace(" ", MARK)) if text else ())
-                if odd:
-                    words.update(w.decode() for w in raw.lower().split())
+            odd = [raw for raw in texts if MARK_BYTES in raw]
+            for counter, own in ((plain, [raw for raw in texts if MARK_BYTES not in raw]), (other, odd)):
+                found = cut(own)[0].value_counts()
+                for unit, n in zip(names_of(found.field("values")), found.field("counts").to_pylist(), strict=True):
+                    counter[unit] = counter.get(unit, 0) + n
+            for raw in odd:
+                words.update(w.decode() for w in raw.lower().split())
             if len(plain) + len(other) + len(words) > TASK_WORDS:
                 for counter, flag in ((plain, True), (other, False), (words, None)):
                     yield from _rows(counter, flag)
@@ -416,29 +498,38 @@ def word_counts(counts: DataFrame) -> DataFrame:
     return own.unionByName(counts.filter("plain is null and unit is not null").select(F.col("unit").alias("word"), "n")).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def pair_counts(counts: DataFrame, model_file: str, rank: object, units_a_task: int = 2_000_000) -> DataFrame:
-    """key, n: id for single ids, and PAIRS + cell for bigrams, over all units. Each unit is encoded once for all its occurrences."""
+def unit_ids(counts: DataFrame, model_file: str) -> DataFrame:
+    """ids, sizes, n of slices of all units, as whole numbers of four, four and eight bytes: each unit is encoded once for all its occurrences and all that is counted of them."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Subwords(model_file)
+        for batch in batches:
+            ids, sizes = known.once(batch.column(0).to_numpy(zero_copy_only=False).tolist())
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (ids, sizes.astype(np.int32), batch.column(1).to_numpy())], ["ids", "sizes", "n"])
+
+    return counts.filter("plain is not null").groupBy("unit").agg(F.sum("n").alias("n")).mapInArrow(encode, "ids binary, sizes binary, n binary")
+
+
+def pair_counts(coded: DataFrame, rank: object, ids_a_task: int = 8_000_000) -> DataFrame:
+    """key, n: id for single ids, and PAIRS + cell for bigrams, over all units; coded: of unit_ids()."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, ranks = Subwords(model_file), rank.value
+        ranks = rank.value
         pairs, singles = np.zeros(RANKS * RANKS, np.int64), np.zeros(len(ranks), np.int64)
         for batch in batches:
-            if known.full():
-                known.clear()
-            units, _ = known.split_units(batch.column(0).to_pylist())
-            times = batch.column(1).to_numpy()
-            cells, ids, of = bigrams(known, units, ranks)
-            np.add.at(pairs, cells, times[of])
-            np.add.at(singles, ids, times[of])
+            for r in batch.to_pylist():
+                ids, sizes = np.frombuffer(r["ids"], np.int32), np.frombuffer(r["sizes"], np.int32)
+                times = np.repeat(np.frombuffer(r["n"], np.int64), sizes)
+                np.add.at(pairs, bigrams(ids, sizes, ranks), times)
+                np.add.at(singles, ids, times)
         for n, base in ((singles, 0), (pairs, PAIRS)):
             seen = np.flatnonzero(n)
             for k in range(0, len(seen), 50_000):
                 own = seen[k : k + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array(own + base, pa.int64()), pa.array(n[own], pa.int64())], ["key", "n"])
 
-    units = counts.filter("plain is not null").groupBy("unit").agg(F.sum("n").alias("n"))
-    tasks = max(1, -(-counts.count() // units_a_task))
-    return units.coalesce(tasks).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    tasks = max(1, -(-int(coded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0) // (4 * ids_a_task)))
+    return coded.coalesce(tasks).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def sample_model(train: DataFrame, model_file: str, rows: int, most_ids: int) -> tuple[Model, list[str]]:
@@ -485,10 +576,10 @@ def ranked(singles: np.ndarray) -> np.ndarray:
     return rank
 
 
-def id_counts(counts: DataFrame, model_file: str) -> np.ndarray:
+def id_counts(counts: DataFrame, coded: DataFrame, model_file: str) -> np.ndarray:
     """How often each id occurs in all counted texts, ends included."""
     pieces = Subwords(model_file).sp.get_piece_size()
-    every = pair_counts(counts, model_file, counts.sparkSession.sparkContext.broadcast(np.zeros(pieces, np.int32))).filter(F.col("key") < PAIRS).toArrow()
+    every = pair_counts(coded, counts.sparkSession.sparkContext.broadcast(np.zeros(pieces, np.int32))).filter(F.col("key") < PAIRS).toArrow()
     singles = np.zeros(pieces)
     singles[every["key"].to_numpy()] = every["n"].to_numpy()
     singles[END] += text_ends(counts)
@@ -499,10 +590,10 @@ def text_ends(counts: DataFrame) -> int:
     return int(counts.filter("unit is null").agg(F.sum("n")).first()[0] or 0)
 
 
-def whole_model(train: DataFrame, counts: DataFrame, model_file: str, stash: Callable[[DataFrame, str], DataFrame]) -> Model:
+def whole_model(train: DataFrame, counts: DataFrame, coded: DataFrame, model_file: str, stash: Callable[[DataFrame, str], DataFrame]) -> Model:
     """The model, its attention fitted on all training texts but a tenth."""
     spark = train.sparkSession
-    singles = id_counts(counts, model_file)
+    singles = id_counts(counts, coded, model_file)
     model = Model(ranked(singles))
     epochs = int(min(EPOCHS, max(1, -(-LEAST_IDS // max(int(singles.sum()), 1)))))
     rounds = ROUNDS // epochs
@@ -533,11 +624,11 @@ def _trainer(model_file: str, shared: object, seed: int) -> Callable[[Iterator[p
         rank, state, step, rate = shared.value
         known = subwords(model_file)
 
-        def slices() -> Iterator[tuple[int, list[str]]]:
+        def slices() -> Iterator[tuple[int, list[bytes]]]:
             for piece, texts in native_rows(batches, "text"):
                 part = piece.column(piece.schema.get_field_index("part")).to_numpy()
                 for own in np.split(np.arange(len(part)), np.flatnonzero(part[1:] != part[:-1]) + 1):
-                    yield int(part[own[0]]), [texts[i].decode() for i in own]
+                    yield int(part[own[0]]), [texts[i] for i in own]
 
         for part, group in itertools.groupby(slices(), key=lambda x: x[0]):
             got, at, n = Model(rank).train(state, step, (known.encode(texts) for _, texts in group), rate, seed * 1_000_003 + part)
@@ -588,7 +679,7 @@ def ratios_of(left: DataFrame, model: Model, model_file: str, shares: dict[str,
         for _, texts in native_rows(batches, "text"):
             if known.full():
                 known.clear()
-            units, n_units = known.split([t.decode() for t in texts])
+            units, n_units = known.split(texts)
             if shares is None:
                 one, two, place, ends = model.chances(known, units, n_units)
                 used = np.r_[place, ends]
@@ -601,13 +692,13 @@ def ratios_of(left: DataFrame, model: Model, model_file: str, shares: dict[str,
     return left.select("text").mapInArrow(run, "r binary")
 
 
-def fit_counts(model: Model, counts: DataFrame, model_file: str, left: DataFrame, stash: Callable[[DataFrame, str], DataFrame], table_units: int = TABLE_UNITS) -> tuple[int, dict[str, float]]:
+def fit_counts(model: Model, counts: DataFrame, coded: DataFrame, model_file: str, left: DataFrame, stash: Callable[[DataFrame, str], DataFrame], table_units: int = TABLE_UNITS) -> tuple[int, dict[str, float]]:
     """Sets the model's bigrams and shares from the counts over all training texts, and its mixing weights from the left texts, taken out of the counts for that; returns the number of text ends, and the shares of the frequent units."""
     rank = counts.sparkSession.sparkContext.broadcast(model.rank)
     end = int(model.rank[END]) * (RANKS + 1)
 
-    def cells(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-        ends, other = text_ends(counts), pair_counts(counts, model_file, rank).toArrow()
+    def cells(counts: DataFrame, coded: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+        ends, other = text_ends(counts), pair_counts(coded, rank).toArrow()
         key, n = other["key"].to_numpy(), other["n"].to_numpy()
         pairs, singles, big = np.zeros(RANKS * RANKS), np.zeros(len(model.rank)), key >= PAIRS
         pairs[key[big] - PAIRS] = n[big]
@@ -616,9 +707,9 @@ def fit_counts(model: Model, counts: DataFrame, model_file: str, left: DataFrame
         singles[END] += ends
         return pairs, singles, ends
 
-    pairs, singles, ends = cells(counts)
+    pairs, singles, ends = cells(counts, coded)
     own = stash(unit_counts(left), "lm-left-counts")
-    own_pairs, own_singles, own_ends = cells(own)
+    own_pairs, own_singles, own_ends = cells(own, stash(unit_ids(own, model_file), "lm-left-ids"))
     model.set_bigrams(np.maximum(pairs - own_pairs, 0).reshape(RANKS, RANKS), np.maximum(singles - own_singles, 0))
     del own_pairs
     model.mix = likeliest(stash(ratios_of(left, model, model_file), "lm-id-ratios"))
@@ -645,12 +736,13 @@ def lm_scores(docs: DataFrame, model_file: str, sample_rows: int | None = None,
     counts = stash(unit_counts(train), "lm-counts")
     words = stash(word_counts(counts), "lm-words")
     with Scratch(spark) as scratch:
+        coded = scratch(unit_ids(counts, model_file), "lm-ids")
         if sample_rows is None and sample_ids is None:
-            model, left = whole_model(train, counts, model_file, scratch), train.filter(place_of() % 10 == 0).select("text")
+            model, left = whole_model(train, counts, coded, model_file, scratch), train.filter(place_of() % 10 == 0).select("text")
         else:
             model, left = sample_model(train, model_file, SAMPLE_ROWS if sample_rows is None else sample_rows, SAMPLE_IDS if sample_ids is None else sample_ids)
             left = spark.createDataFrame([(t,) for t in left], "text string")
-        ends, units = fit_counts(model, counts, model_file, left, scratch)
+        ends, units = fit_counts(model, counts, coded, model_file, left, scratch)
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, kinds = sums.n + ends, sums.v + (ends > 0)
     least = frequent_from(words, table_words)
@@ -664,7 +756,8 @@ def lm_scores(docs: DataFrame, model_file: str, sample_rows: int | None = None,
         known = subwords(model_file, owner, lambda: (units, dict(zip(names, np.log10((n + 0.1) / scale).tolist(), strict=True))))
         if known.full():
             known.trim()
-        own, n_units = known.split([t.decode() for t in texts])
+        own, n_units = known.split(texts)
+        known.facts()
         of = np.repeat(np.arange(len(texts)), n_units)
         total = lambda x: np.bincount(of, x[own], len(texts))
         words, frequent, logs = total(known.words).astype(np.int64), total(known.known).astype(np.int64), total(known.log)

@@ -375,6 +375,47 @@ def test_lm_parts_and_rounds_are_even(spark):
     assert len(got) == 96 and min(r["count"] for r in got) > 120
 
 
+def test_lm_units_of_bytes():
+    """cut() gives the units of the pattern; words are looked at only where they are scored."""
+    mark = lm_score.MARK
+    texts = [*(t or "" for t in EDGES), "", " ", "\n", "a", " a", "a  b", "a \n b\n\nc ", f"x{mark}y {mark} z\n{mark}\n", "\ta\r\n é\u3000ü ", prose(3, 40), "  ", "\n a"]
+    want = [lm_score.UNIT.findall((mark + t).replace(" ", mark)) if t else [] for t in texts]
+    units, sizes = lm_score.cut([t.encode() for t in texts])
+    assert lm_score.names_of(units) == [u for w in want for u in w] and sizes.tolist() == [len(w) for w in want]
+    known = lm_score.Subwords(PIECES)
+    ids, _ = known.encode(texts)
+    assert ids.tolist() == [i for t in texts for i in known.sp.encode(t)] and not len(known.words)
+    known.facts()
+    assert len(known.words) == len(known.share) == len(known.at)
+
+
+def test_lm_gradients():
+    """Against small steps of the parameters; logits of any size are borne, and no id's moments become subnormal."""
+    rank = np.minimum(np.arange(32000), lm_score.RANKS - 1).astype(np.int32)
+    model = lm_score.Model(rank)
+    rng = np.random.default_rng(3)
+    ids, sizes = rng.integers(3, 300, 700).astype(np.int32), np.array([300, 0, 400])
+    inputs, targets, scored, _ = lm_score.layout(ids, sizes)
+    x, y = rank[inputs], np.where(targets >= 0, np.minimum(rank[np.maximum(targets, 0)], lm_score.HEAD - 1), -1)
+    y[~scored] = -1
+    y = y[1:].reshape(-1)
+    model.p = {n: v.astype(np.float64) for n, v in model.p.items()}
+    for n, v in model.p.items():
+        _, g = model.gradients(x, y)
+        way = rng.normal(0, 1, v.shape)
+        losses = []
+        for step in (1e-3, -2e-3):
+            v += step * way
+            losses.append(model.gradients(x, y)[0])
+        v += 1e-3 * way
+        assert abs((losses[0] - losses[1]) / 2e-3 - (g[n] * way).sum()) < 2e-3 * (1 + abs((g[n] * way).sum())), n
+    model = lm_score.Model(rank)
+    model.p["b3"][:5] = 300
+    loss, g = model.gradients(x, y)
+    assert np.isfinite(loss) and all(np.isfinite(v).all() for v in g.values())
+    assert (np.abs(g["e"][2000:]) >= 1e-19).all()
+
+
 def test_lm_sample_is_random(spark, monkeypatch):
     texts = [f"{c}{c} {prose(i, 40)}" for i, c in enumerate("abcdefghijklmnopqrstuvwxyz" * 4)]
     got = []
