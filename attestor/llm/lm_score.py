@@ -293,8 +293,7 @@ class Model:
         order = np.argsort(flat, kind="stable")
         flat = flat[order]
         begins = np.r_[0, np.flatnonzero(flat[1:] != flat[:-1]) + 1]
-        # Not 0, for the moments of an id that isn't seen for long would become subnormal numbers, which are slow.
-        g["e"][:] = np.float32(1e-18)
+        g["e"][:] = 0
         g["e"][flat[begins]] = np.add.reduceat(de.take(order, 0), begins, axis=0)
         return loss, g
 
