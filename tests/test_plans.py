@@ -42,3 +42,14 @@ def test_typed(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_cues_of_odd_texts(spark, tmp_path):
+    """A word ends before a letter that isn't ASCII, other blanks stay, and a turn without text is no error."""
+    texts = ["Noñasción sin más", None, "was not supported, it owns\0 no source", "mentions x but never shows; CAN'T infer", "İnside: do not  lack\x0bit", "only\tit,\nnot that", None, "not only that", None, "éno lacksé owns"]
+    spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    theirs = con.sql(entry.oracle_sql()["cue_pairs"])
+    got = entry.queries()["cue_pairs"](spark, str(tmp_path)).select(*theirs.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(theirs.fetchall())
