@@ -11,7 +11,8 @@ from operator import mul
 
 from attestor.functions.lexicon import STOP, SUFFIXES, SYNONYMS
 
-_PARTS = re.compile(r"[^a-z0-9]+")
+#: Leaves a-z and 0-9 in lower-cased text; bytes of all other letters part words as marks do.
+_KEPT = bytes(i if i in b"abcdefghijklmnopqrstuvwxyz0123456789" else 32 for i in range(256))
 _SPACE = re.compile(r"\s+")
 GRAM = 4
 
@@ -30,7 +31,12 @@ def _term(word: str) -> str | None:
 
 
 def terms(text: str) -> list[str]:
-    return [t for t in map(_term, _PARTS.split(text.lower())) if t]
+    return [t for t in map(_term, words(text)) if t]
+
+
+def words(text: str) -> list[str]:
+    """What terms are made of, each by itself."""
+    return text.lower().encode("utf-8", "replace").translate(_KEPT).decode("ascii").split()
 
 
 def plain(text: str) -> str:
@@ -46,11 +52,11 @@ class Profile:
 
     __slots__ = ("bag", "bag_length", "grams", "grams_length", "long", "order")
 
-    def __init__(self, text: str) -> None:
+    def __init__(self, text: str, flat: str | None = None) -> None:
         self.order = terms(text)
         self.bag = Counter(self.order)
         self.long = [t for t in self.order if len(t) > 2]
-        flat = plain(text)
+        flat = plain(text) if flat is None else flat
         self.grams = Counter([flat[i : i + GRAM] for i in range(max(1, len(flat) - GRAM + 1))] if flat else ())
         self.bag_length, self.grams_length = _length(self.bag), _length(self.grams)
 
@@ -58,7 +64,7 @@ class Profile:
 profile = lru_cache(1 << 14)(Profile)
 
 
-def _angle(a: Counter, la: float, b: Counter, lb: float) -> float:
+def angle(a: Counter, la: float, b: Counter, lb: float) -> float:
     if not a or not b:
         return 0.0
     if len(a) > len(b):
@@ -77,8 +83,8 @@ def similarity(asked: Profile, text: Profile) -> float:
     both = len(asked.bag.keys() & text.bag.keys())
     either = len(asked.bag) + len(text.bag) - both
     overlap = both / either if asked.bag and text.bag else 0.0
-    total = 0.48 * _angle(asked.bag, asked.bag_length, text.bag, text.bag_length) + 0.18 * overlap
-    total += 0.20 * _angle(asked.grams, asked.grams_length, text.grams, text.grams_length) + 0.14 * share_of_terms(asked, text)
+    total = 0.48 * angle(asked.bag, asked.bag_length, text.bag, text.bag_length) + 0.18 * overlap
+    total += 0.20 * angle(asked.grams, asked.grams_length, text.grams, text.grams_length) + 0.14 * share_of_terms(asked, text)
     return max(0.0, min(1.0, total))
 
 

@@ -1,8 +1,8 @@
 """Each claim's first spans by the share of its terms, in one pass over the spans.
 
-Claims are a stated query set: their terms are a matrix that every worker has, in blocks of BLOCK claims. A batch of
-spans is multiplied with it where it lies, and only its first `limit` spans for each claim go on, so what is shuffled
-grows with the batches, not with the pairs of claims and spans.
+Claims are a stated query set: every worker has the claims of each of their terms. A task counts the terms that its
+spans have in common with claims, and only its first `limit` spans for each claim go on, so what is shuffled grows with
+the tasks and claims, neither with the spans nor with the pairs of claims and spans.
 """
 
 from __future__ import annotations
@@ -15,57 +15,107 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from attestor.functions.similarity import terms
+from attestor.functions.similarity import terms, words
 
-#: Claims in a block, and spans that are multiplied at a time.
-BLOCK, ROWS = 512, 4096
+#: Spans that are counted at a time, pairs of spans and claims that a table of counts has at most, and words that are remembered.
+ROWS, CELLS, WORDS = 4096, 1 << 21, 1 << 18
 
 
-def first_spans(spans: DataFrame, claims: DataFrame, limit: int = 30) -> DataFrame:
+def first_spans(spans: DataFrame, claims: DataFrame, limit: int = 30, also: tuple[str, ...] = ()) -> DataFrame:
     """claim_id, span_id, document_id, ordinal, parent_id, k (terms in common), n (the claim's terms), rank: by share, then children first, then document and place.
 
-    spans (span_id, document_id, ordinal, parent_id, text), claims (claim_id, claim). Spans without a common term are no candidates.
+    spans (span_id, document_id, ordinal, parent_id, text), claims (claim_id, claim). Spans without a common term are no candidates. also: columns of the spans that go on.
     """
     asked = [(r.claim_id, sorted(set(terms(r.claim or "")))) for r in claims.select("claim_id", "claim").toLocalIterator()]
-    vocabulary = {t: i for i, t in enumerate(sorted({t for _, ts in asked for t in ts}))}
-    shared = spans.sparkSession.sparkContext.broadcast((vocabulary, [[vocabulary[t] for t in ts] for _, ts in asked]))
+    holders: dict[str, list[int]] = {}
+    for i, (_, ts) in enumerate(asked):
+        for t in ts:
+            holders.setdefault(t, []).append(i)
+    vocabulary = {t: i for i, t in enumerate(holders)}
+    ends = np.cumsum([0, *map(len, holders.values())])
+    shared = spans.sparkSession.sparkContext.broadcast((vocabulary, ends, np.array([c for cs in holders.values() for c in cs], np.int64), len(asked)))
+    own = ["span_id", "document_id", "ordinal", "parent_id", *also]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, columns = shared.value
+        best = _Best(*shared.value, limit)
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
-                yield from _best(whole.slice(at, ROWS), words, columns, limit)
+                best.add(whole.slice(at, ROWS))
+        yield from best.result(own)
 
-    keep = spans.select("span_id", "document_id", "ordinal", "parent_id", "text")
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keep.schema.fields if f.name != "text")
+    keep = spans.select(*own, *(["text"] if "text" not in own else []))
+    kinds = ", ".join(f"{n} {keep.schema[n].dataType.simpleString()}" for n in own)
     found = keep.mapInArrow(run, f"claim int, {kinds}, k int")
     names = spans.sparkSession.createDataFrame([(i, c, len(ts)) for i, (c, ts) in enumerate(asked)], f"claim int, claim_id {claims.schema['claim_id'].dataType.simpleString()}, n int")
     order = W.partitionBy("claim").orderBy(F.desc("k"), F.col("parent_id").isNull(), "document_id", "ordinal")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
-    return ranked.join(F.broadcast(names), "claim").select("claim_id", "span_id", "document_id", "ordinal", "parent_id", "k", "n", "rank")
-
-
-def _best(batch: pa.RecordBatch, words: dict[str, int], columns: list[list[int]], limit: int) -> Iterator[pa.RecordBatch]:
-    texts, parents = batch.column(4).to_pylist(), batch.column(3).to_pylist()
-    found = [{words[t] for t in terms(x or "") if t in words} for x in texts]
-    rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
-    own = np.zeros((len(found), len(words)), np.float32)
-    own[rows, np.fromiter((w for f in found for w in f), np.int64, len(rows))] = 1
-    keys = zip([p is None for p in parents], batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
-    place = np.empty(len(found), np.int64)
-    place[sorted(range(len(found)), key=list(keys).__getitem__)] = np.arange(len(found))
-    for first in range(0, len(columns), BLOCK):
-        block = columns[first : first + BLOCK]
-        asked = np.zeros((len(words), len(block)), np.float32)
-        for j, c in enumerate(block):
-            asked[c, j] = 1
-        # Of one claim's spans the shares are ordered as the counts are.
-        common = (own @ asked).astype(np.int64)
-        rank = common * len(found) + (len(found) - 1 - place[:, None])
-        rank[common == 0] = -1
-        top = np.argpartition(-rank, limit, axis=0)[:limit] if len(found) > limit else np.tile(np.arange(len(found))[:, None], (1, len(block)))
-        claim = np.tile(np.arange(len(block)), (len(top), 1))
-        kept = common[top, claim] > 0
-        spans, claim = pa.array(top[kept]), claim[kept]
-        out = [pa.array((claim + first).astype(np.int32)), *(batch.column(i).take(spans) for i in range(4)), pa.array(common[top[kept], claim].astype(np.int32))]
-        yield pa.RecordBatch.from_arrays(out, ["claim", *batch.schema.names[:4], "k"])
+    return ranked.join(F.broadcast(names), "claim").select("claim_id", *own[:4], "k", "n", "rank", *also)
+
+
+class _Places(dict[str, int]):
+    """Of words that were met, the place of their term among the claims' terms; -1 where no claim has it."""
+
+    def __init__(self, vocabulary: dict[str, int]) -> None:
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= WORDS:
+            self.clear()
+        self[word] = at = next((self.vocabulary.get(t, -1) for t in terms(word)), -1)
+        return at
+
+
+class _Best:
+    """The first spans of each claim among those that were added."""
+
+    def __init__(self, vocabulary: dict[str, int], ends: np.ndarray, holders: np.ndarray, n: int, limit: int) -> None:
+        self.ends, self.holders, self.n, self.limit = ends, holders, n, limit
+        self.places = _Places(vocabulary)
+        #: By claim, the count below which a span can't be among the first any more.
+        self.least = np.ones(n, np.int64)
+        self.claim, self.k, self.rows = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        found = [set(map(self.places.__getitem__, words(x or ""))) - {-1} for x in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+        step = max(1, CELLS // max(1, self.n))
+        for at in range(0, len(found) if self.n else 0, step):
+            part = found[at : at + step]
+            row = np.repeat(np.arange(len(part)), [len(f) for f in part])
+            word = np.fromiter((w for f in part for w in f), np.int64, len(row))
+            size = self.ends[word + 1] - self.ends[word]
+            first = np.cumsum(size) - size
+            claim = self.holders[np.arange(size.sum()) + np.repeat(self.ends[word] - first, size)]
+            common = np.bincount(np.repeat(row, size) * self.n + claim, minlength=len(part) * self.n).reshape(len(part), self.n)
+            spans, claim = np.nonzero(common >= self.least)
+            if len(spans):
+                used, to = np.unique(spans, return_inverse=True)
+                self._keep(claim, common[spans, claim], batch.take(pa.array(used + at)), to)
+
+    def _keep(self, claim: np.ndarray, k: np.ndarray, rows: pa.RecordBatch, to: np.ndarray) -> None:
+        before = 0 if self.rows is None else self.rows.num_rows
+        self.rows = pa.Table.from_batches([rows]) if self.rows is None else pa.concat_tables([self.rows, pa.Table.from_batches([rows])])
+        self.at = to if not before else np.concatenate([self.at, to + before])
+        self.claim, self.k = np.concatenate([self.claim, claim]), np.concatenate([self.k, k])
+        if len(self.k) > 4 * self.limit * self.n:
+            self._cut()
+
+    def _cut(self) -> None:
+        column = lambda n: self.rows.column(n).combine_chunks()
+        document = np.unique(np.array(column("document_id").to_pylist(), object), return_inverse=True)[1][self.at]
+        ordinal, whole = column("ordinal").to_numpy(zero_copy_only=False)[self.at], column("parent_id").is_null().to_numpy(zero_copy_only=False)[self.at]
+        order = np.lexsort((ordinal, document, whole, -self.k, self.claim))
+        claim = self.claim[order]
+        starts = np.searchsorted(claim, np.arange(self.n))
+        place = np.arange(len(claim)) - starts[claim]
+        order, last = order[place < self.limit], order[place == self.limit - 1]
+        self.least[self.claim[last]] = self.k[last]
+        used, at = np.unique(self.at[order], return_inverse=True)
+        self.claim, self.k, self.at, self.rows = self.claim[order], self.k[order], at, self.rows.take(pa.array(used)).combine_chunks()
+
+    def result(self, own: list[str]) -> Iterator[pa.RecordBatch]:
+        if self.rows is None:
+            return
+        self._cut()
+        rows = self.rows.select(own).take(pa.array(self.at)).combine_chunks()
+        out = pa.table([pa.array(self.claim.astype(np.int32)), *rows.columns, pa.array(self.k.astype(np.int32))], ["claim", *own, "k"])
+        yield from out.to_batches(ROWS)

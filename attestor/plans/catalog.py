@@ -201,7 +201,7 @@ top AS (SELECT * FROM ranks WHERE rank <= 30)"""
 
 BY_SHARE = "CASE WHEN score >= 0.55 THEN 'supports' WHEN score >= 0.55 * 0.82 THEN 'near_miss' ELSE 'reject' END"
 #: `top` from `met`, the first 30 spans of each claim: where labels follow the score, their order is the score's.
-TOP = f"scored AS (SELECT *, round(cast(k as double) / n, 4) AS score FROM met), top AS (SELECT claim_id, span_id, document_id, ordinal, parent_id, {BY_SHARE} AS label, score, rank FROM scored)"
+TOP = f"scored AS (SELECT *, round(cast(k as double) / n, 4) AS score FROM met), top AS (SELECT claim_id, span_id, document_id, ordinal, parent_id, {BY_SHARE} AS label, score, rank, kind, text, heading_path FROM scored)"
 
 
 GOLD = "gold AS (SELECT DISTINCT c.claim_id, s.span_id FROM cases c JOIN spans s ON s.document_id = c.document_id WHERE instr(s.text, c.claim) > 0)"

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.operators import experiments, keyword, parsing
-from attestor.plans.catalog import GOLD, PLANS, TOP
+from attestor.operators import experiments, keyword, lexical, parsing
+from attestor.plans.catalog import PLANS, TOP
 from attestor.plans.dialect import Spark
 from attestor.sources.tables import exists, written
 
@@ -54,48 +55,40 @@ def query(views: dict[str, DataFrame], text: str) -> DataFrame:
 
 
 def document_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    make = lambda: parsing.parse(docs.select(F.col("doc_id").cast("string").alias("document_id"), "text"))
-    return stage(spark, sf_dir, "spans", ["documents"], make)
+    return stage(spark, sf_dir, "spans", ["documents"], lambda: parsed(spread(table(spark, sf_dir, "documents"))))
+
+
+def parsed(docs: DataFrame) -> DataFrame:
+    return parsing.parse(docs.select(F.col("doc_id").cast("string").alias("document_id"), "text"))
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """claim_id, claim, doc_id, document_id: the documents that hold a claim's text."""
-    docs, claims = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    return stage(spark, sf_dir, "cases", ["documents", "benchmark"], lambda: holding(docs, claims))
-
-
-def holding(docs: DataFrame, claims: DataFrame) -> DataFrame:
-    """Documents and claims meet on a run of four words inside the claim, which a text that holds the claim must have whole; then the texts are compared. Claims of fewer words are compared with all texts."""
-    words = lambda c: F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0))
-    run = lambda w, i: F.xxhash64(*[F.get(w, i + k) for k in range(4)])
-    asked = claims.filter("text is not null").select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim"), words("text").alias("w"))
-    keys = asked.filter(F.size("w") >= 6).select("claim_id", run(F.col("w"), F.lit(1)).alias("key"))
-    own = docs.filter("text is not null").select("doc_id", words("text").alias("w"))
-    runs = F.transform(F.when(F.size("w") >= 4, F.sequence(F.lit(0), F.size("w") - 4)), lambda i: run(F.col("w"), i))
-    met = own.select("doc_id", F.explode(runs).alias("key")).join(keys, "key").select("claim_id", "doc_id").distinct()
-    texts = docs.select("doc_id", "text")
-    found = met.join(asked.select("claim_id", "claim"), "claim_id").join(texts, "doc_id").filter(F.expr("instr(text, claim) > 0"))
-    out = found.select("claim_id", "claim", "doc_id")
-    short = asked.filter(F.size("w") < 6).select("claim_id", "claim")
-    if not short.isEmpty():
-        out = out.unionByName(texts.join(short, F.expr("instr(text, claim) > 0")).select("claim_id", "claim", "doc_id"))
-    return out.withColumn("document_id", F.col("doc_id").cast("string"))
+    docs, claims = spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")
+    return stage(spark, sf_dir, "cases", ["documents", "benchmark"], lambda: lexical.holding(docs, claims))
+
+
+def held_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each claim beside the spans of the documents that hold it."""
+    docs, claims = spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")
+    return stage(spark, sf_dir, "held", ["documents", "benchmark"], lambda: lexical.held_spans(docs, claims))
 
 
 def top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each claim's first 30 spans by keywords, with labels."""
+    """Each claim's first 30 spans by keywords, with labels and what the typed ranker reads; spans are parsed on the way."""
 
     def make() -> DataFrame:
+        spans = parsed(spread(table(spark, sf_dir, "documents")))
         claims = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim"))
-        return query({"met": keyword.first_spans(document_spans(spark, sf_dir), claims)}, f"WITH {TOP} SELECT * FROM top")
+        met = keyword.first_spans(spans, claims, also=("kind", "text", "heading_path"))
+        return query({"met": met}, f"WITH {TOP} SELECT * FROM top")
 
     return stage(spark, sf_dir, "top", ["documents", "benchmark"], make)
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    make = lambda: query({"cases": cases(spark, sf_dir), "spans": document_spans(spark, sf_dir)}, f"WITH {GOLD} SELECT * FROM gold")
-    return stage(spark, sf_dir, "gold", ["documents", "benchmark"], make)
+    """Spans that hold a claim, of documents that do."""
+    return held_spans(spark, sf_dir).filter("gold").select("claim_id", "span_id").distinct()
 
 
 VIEWS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"spans": document_spans, "cases": cases, "top": top, "gold": gold}
@@ -103,9 +96,23 @@ VIEWS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"spans": document_
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     make, tables = PLANS[name]
+    text = make(Spark())
     wanted = [v for t in tables for v in (("cases", "top", "gold") if t == "ranked" else (t,))]
-    views = {v: VIEWS[v](spark, sf_dir) if v in VIEWS else table(spark, sf_dir, v) for v in wanted}
-    return query(views, make(Spark()))
+    # Stages are made where the text reads them.
+    views = {v: VIEWS[v](spark, sf_dir) if v in VIEWS else table(spark, sf_dir, v) for v in wanted if v not in VIEWS or re.search(rf"\b{v}\b", text)}
+    return query(views, text)
+
+
+def soft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sim_soft: texts are turned into bags once, where the relational text counts each item of an array over the whole array."""
+    found = lexical.soft(spread(held_spans(spark, sf_dir).select("claim_id", "span_id", "claim", "text")))
+    return found.select("claim_id", "span_id", F.round("similarity", 6).alias("similarity"), F.round("exact_phrase", 6).alias("exact_phrase"))
+
+
+def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mdl_bm25: all of it lies inside a document, so nothing is shuffled."""
+    found = lexical.bm25(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("score", F.round("score", 6))
 
 
-QUERIES = {name: partial(run, name) for name in PLANS}
+QUERIES = {name: partial(run, name) for name in PLANS} | {"sim_soft": soft, "mdl_bm25": bm25}

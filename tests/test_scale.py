@@ -1,6 +1,11 @@
 """What lets queries keep their limits: how much is read, shuffled and done twice, at a small scale."""
 
-from attestor.operators.typed import rank_pairs
+import math
+
+import pyarrow as pa
+
+from attestor.operators import keyword, lexical
+from attestor.operators.typed import FEATURES, rank_pairs
 from attestor.plans import run as R
 from attestor.plans import typed
 
@@ -17,4 +22,51 @@ def test_small_tables_are_spread(spark):
 def test_pairs_keep_what_is_asked(spark):
     pairs = spark.createDataFrame([("a", "The cache keeps 3 copies", "sentence", "The cache keeps 3 copies.", None, 1)], "claim_id string, claim string, kind string, text string, heading_path array<string>, k int")
     whole, few = rank_pairs(pairs).first(), rank_pairs(pairs, keep=["k"], add=("label", "values"))
-    assert few.columns == ["k", "label", "values"] and tuple(few.first()) == (1, whole.label, list(whole.features.values()))
+    assert few.columns == ["k", "label", "values"] and tuple(few.first()) == (1, whole.label, [whole.features[f] for f in FEATURES])
+
+
+def documents(spark, n=40):
+    rows = [(i, f"Alpha beta {i % 7} gamma delta. Some filler stands here, and more of it.\nA claim number {i % 3} is held here whole. Zeta.") for i in range(n)]
+    claims = [(k, f"number {k} is held here") for k in range(4)] + [(9, "Zeta"), (10, None), (11, "Alpha beta")]
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(claims, "item_id long, text string")
+
+
+def test_claims_are_found_without_a_join(spark):
+    docs, claims = documents(spark)
+    for df in (lexical.holding(docs, claims), lexical.held_spans(docs, claims), lexical.bm25(docs, claims)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan
+    want = {(c.item_id, d.doc_id) for c in claims.collect() for d in docs.collect() if c.text and c.text in d.text}
+    assert {(r.claim_id, r.doc_id) for r in lexical.holding(docs, claims).collect()} == want and {c for c, _ in want} == {0, 1, 2, 9, 11}
+    held = lexical.held_spans(docs, claims).collect()
+    assert {(r.claim_id, int(r.document_id)) for r in held} == want and all(r.gold == (r.claim in r.text) for r in held) and any(r.gold for r in held)
+    assert all(0 < r.score <= 1 for r in lexical.bm25(docs, claims).collect())
+
+
+def test_soft_similarity(spark):
+    rows = [(1, "a", "Alpha beta", "alpha  Beta"), (1, "b", "Alpha beta", "That."), (1, "c", "Alpha beta", "")]
+    got = {r.span_id: r for r in lexical.soft(spark.createDataFrame(rows, "claim_id long, span_id string, claim string, text string")).collect()}
+    assert math.isclose(got["a"].similarity, 1.0) and got["a"].exact_phrase == 1.0
+    assert math.isclose(got["b"].similarity, 0.48) and math.isclose(got["c"].similarity, 0.48)  # in its SQL, the lesser of 1 and nothing is 1
+
+
+def test_a_task_keeps_the_first_spans_only():
+    """What leaves a task doesn't grow with its spans, and is what sorting all of them would keep."""
+    asked = [["alpha", "beta"], ["beta", "gamma", "delta"], ["omega"]]
+    vocabulary = {t: i for i, t in enumerate(sorted({t for ts in asked for t in ts}))}
+    holders = [[c for c, ts in enumerate(asked) if t in ts] for t in vocabulary]
+    ends, flat = keyword.np.cumsum([0, *map(len, holders)]), keyword.np.array([c for cs in holders for c in cs])
+    best, rows = keyword._Best(vocabulary, ends, flat, 3, 5), []
+    names = ["span_id", "document_id", "ordinal", "parent_id", "text"]
+    for k in range(60):
+        part = [(f"{k}-{i}", str(i * 7 % 11), k, None if i % 3 else "p", " ".join(w for j, w in enumerate(["alpha", "beta", "gamma", "delta", "omega x"]) if (i * 31 + k * 7) >> j & 1)) for i in range(50)]
+        rows += part
+        best.add(pa.RecordBatch.from_arrays([pa.array(c) if n != "ordinal" else pa.array(c, pa.int32()) for n, c in zip(names, zip(*part, strict=True), strict=True)], names))
+    got = {(r["claim"], r["span_id"], r["k"]) for b in best.result(names[:4]) for r in b.to_pylist()}
+    want = set()
+    for c, ts in enumerate(asked):
+        found = sorted((-n, p is None, d, o, s) for s, d, o, p, t in rows if (n := len(set(ts) & set(t.split()))))
+        want |= {(c, s, -n) for n, _, _, _, s in found[:5]}
+    assert {(c, k) for c, _, k in got} == {(c, k) for c, _, k in want} and len(got) == 15
+    place = {s: (p is None, d, o) for s, d, o, p, _ in rows}
+    assert sorted((c, k, place[s]) for c, s, k in got) == sorted((c, k, place[s]) for c, s, k in want)
