@@ -18,18 +18,22 @@ GRAM = 4
 
 
 def stem(word: str) -> str:
+    if not word.endswith(SUFFIXES):
+        return word
     if len(word) > 5 and word.endswith("ies"):
         return word[:-3] + "y"
     return next((word[: -len(s)] for s in SUFFIXES if word.endswith(s) and len(word) > len(s) + 3), word)
 
 
-@lru_cache(1 << 16)
-def _term(word: str) -> str | None:
+def term_of(word: str) -> str | None:
     """The word's term: its stem, or the first word of the group that has it; None for what doesn't count."""
     term = stem(word)
     return SYNONYMS.get(term, term) if len(term) > 1 and term not in STOP else None
 
 
+_term = lru_cache(1 << 16)(term_of)
+
+
 def terms(text: str) -> list[str]:
     return [t for t in map(_term, words(text)) if t]
 
@@ -61,7 +65,7 @@ class Profile:
         self.bag_length, self.grams_length = _length(self.bag), _length(self.grams)
 
 
-profile = lru_cache(1 << 14)(Profile)
+profile = lru_cache(1 << 12)(Profile)
 
 
 def angle(a: Counter, la: float, b: Counter, lb: float) -> float:

@@ -75,17 +75,25 @@ def held_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each claim's first 30 spans by keywords, with labels and what the typed ranker reads; spans are parsed on the way."""
+    """Each claim's first 30 spans by keywords, with labels; spans are parsed on the way."""
 
     def make() -> DataFrame:
-        spans = parsed(spread(table(spark, sf_dir, "documents")))
+        docs = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("string").alias("document_id"), "text")
         claims = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim"))
-        met = keyword.first_spans(spans, claims, also=("kind", "text", "heading_path"))
+        met = keyword.first_in_documents(docs, claims)
         return query({"met": met}, f"WITH {TOP} SELECT * FROM top")
 
     return stage(spark, sf_dir, "top", ["documents", "benchmark"], make)
 
 
+def spans_at(spark: SparkSession, sf_dir: str, places: DataFrame) -> DataFrame:
+    """places (document_id, span_id, and others; a bounded number for each claim) with the spans' kind, text and heading_path: their documents are parsed again."""
+    docs = table(spark, sf_dir, "documents").withColumn("document_id", F.col("doc_id").cast("string"))
+    wanted = docs.join(F.broadcast(places.select("document_id").distinct()), "document_id", "left_semi")
+    spans = parsed(spread(wanted)).select("span_id", "kind", "text", "heading_path")
+    return spans.join(F.broadcast(places), "span_id")
+
+
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans that hold a claim, of documents that do."""
     return held_spans(spark, sf_dir).filter("gold").select("claim_id", "span_id").distinct()

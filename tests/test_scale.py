@@ -4,7 +4,7 @@ import math
 
 import pyarrow as pa
 
-from attestor.operators import keyword, lexical
+from attestor.operators import keyword, lexical, parsing
 from attestor.operators.typed import FEATURES, rank_pairs
 from attestor.plans import run as R
 from attestor.plans import typed
@@ -61,8 +61,8 @@ def test_a_task_keeps_the_first_spans_only():
     for k in range(60):
         part = [(f"{k}-{i}", str(i * 7 % 11), k, None if i % 3 else "p", " ".join(w for j, w in enumerate(["alpha", "beta", "gamma", "delta", "omega x"]) if (i * 31 + k * 7) >> j & 1)) for i in range(50)]
         rows += part
-        best.add(pa.RecordBatch.from_arrays([pa.array(c) if n != "ordinal" else pa.array(c, pa.int32()) for n, c in zip(names, zip(*part, strict=True), strict=True)], names))
-    got = {(r["claim"], r["span_id"], r["k"]) for b in best.result(names[:4]) for r in b.to_pylist()}
+        best.add(pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in part], keyword.OWN), [best.terms(r[4]) for r in part])
+    got = {(r["claim"], r["span_id"], r["k"]) for b in best.result() for r in b.to_pylist()}
     want = set()
     for c, ts in enumerate(asked):
         found = sorted((-n, p is None, d, o, s) for s, d, o, p, t in rows if (n := len(set(ts) & set(t.split()))))
@@ -70,3 +70,19 @@ def test_a_task_keeps_the_first_spans_only():
     assert {(c, k) for c, _, k in got} == {(c, k) for c, _, k in want} and len(got) == 15
     place = {s: (p is None, d, o) for s, d, o, p, _ in rows}
     assert sorted((c, k, place[s]) for c, s, k in got) == sorted((c, k, place[s]) for c, s, k in want)
+
+
+def test_first_spans_of_parsed_documents(spark):
+    """Parsed on the way or before: the same spans."""
+    docs = R.table(spark, SF, "documents").selectExpr("cast(doc_id as string) AS document_id", "text").limit(150).localCheckpoint()
+    claims = R.table(spark, SF, "benchmark").selectExpr("item_id AS claim_id", "text AS claim")
+    a, b = keyword.first_in_documents(docs.repartition(5), claims), keyword.first_spans(parsing.parse(docs), claims)
+    assert sorted(a.collect()) == sorted(b.collect()) and a.count() > 0
+
+
+def test_the_queue_is_made_once(spark, monkeypatch):
+    made, run = [], typed.run
+    monkeypatch.setattr(typed, "run", lambda name, *a: made.append(name) or run(name, *a).localCheckpoint())
+    R._STAGES.clear()
+    assert typed.QUERIES["cur_templates"](spark, SF).count() == typed.QUERIES["cur_templates"](spark, SF).count() > 0
+    assert made == ["cur_queue"]
