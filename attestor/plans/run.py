@@ -9,7 +9,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.operators import experiments, keyword, lexical, parsing
+from attestor.operators import experiments, keyword, lexical, nearest, parsing
 from attestor.plans.catalog import PLANS, TOP
 from attestor.plans.dialect import Spark
 from attestor.sources.tables import exists, written
@@ -123,4 +123,12 @@ def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 6))
 
 
-QUERIES = {name: partial(run, name) for name in PLANS} | {"sim_soft": soft, "mdl_bm25": bm25}
+def embedding_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mdl_embedding_topk: all pairs as products of matrices; vectors that are null, empty, of several lengths or without direction go the relational way."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    if not nearest.regular(vectors):
+        return run("mdl_embedding_topk", spark, sf_dir)
+    return nearest.nearest(spread(vectors), vectors.filter("vec_id % 20 = 0"))
+
+
+QUERIES = {name: partial(run, name) for name in PLANS} | {"sim_soft": soft, "mdl_bm25": bm25, "mdl_embedding_topk": embedding_topk}

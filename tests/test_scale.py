@@ -4,7 +4,7 @@ import math
 
 import pyarrow as pa
 
-from attestor.operators import keyword, lexical, parsing
+from attestor.operators import keyword, lexical, nearest, parsing
 from attestor.operators.typed import FEATURES, rank_pairs
 from attestor.plans import run as R
 from attestor.plans import typed
@@ -86,3 +86,24 @@ def test_the_queue_is_made_once(spark, monkeypatch):
     R._STAGES.clear()
     assert typed.QUERIES["cur_templates"](spark, SF).count() == typed.QUERIES["cur_templates"](spark, SF).count() > 0
     assert made == ["cur_queue"]
+
+
+def test_nearest_with_copies_and_blocks(spark, monkeypatch):
+    """Many equal vectors are ordered by id, whatever the batches and blocks, and the rest is exact."""
+    rng = nearest.np.random.default_rng(3)
+    base = rng.normal(size=(40, 8)).astype("float32")
+    rows = [(i, [float(x) for x in base[i * 7 % 40]]) for i in range(600)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    m = nearest.np.array([r[1] for r in rows])
+    cosine = m @ m.T / nearest.np.outer(*[nearest.np.linalg.norm(m, axis=1)] * 2)
+    want = [(q, *x) for q in range(0, 600, 20) for x in sorted((-round(float(cosine[q, v]), 6), v) for v in range(600) if v != q)[:10]]
+    assert nearest.regular(vectors)
+    for size in (64 << 20, 32 * 7):
+        monkeypatch.setattr(nearest, "BLOCK_BYTES", size)
+        got = nearest.nearest(vectors.repartition(3), vectors.filter("vec_id % 20 = 0")).collect()
+        assert [(r.query_id, r.vec_id) for r in sorted(got, key=lambda r: (r.query_id, r.rank))] == [(q, v) for q, _, v in want]
+        assert all(abs(r.score + s) < 2e-6 for r, (_, s, _) in zip(sorted(got, key=lambda r: (r.query_id, r.rank)), want, strict=True))
+    odd = spark.createDataFrame([(0, [1.0, 2.0]), (1, None)], "vec_id long, embedding array<float>")
+    assert not nearest.regular(odd) and not nearest.regular(odd.fillna(0).filter("vec_id = 0").union(spark.createDataFrame([(2, [0.0, 0.0])], odd.schema)))
+    plan = nearest.nearest(vectors, vectors.filter("vec_id % 20 = 0"))._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
